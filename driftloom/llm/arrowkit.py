@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
 U = np.uint64
@@ -182,3 +183,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+COUNTS = "key string, block int, task int, counts binary"
+BLOCK = 2048
+
+
+def count_rows(counts: dict[str, np.ndarray], task: int) -> pa.RecordBatch:
+    """What one task has counted: for each key a vector of 64-bit counts, in blocks."""
+    rows = [(key, i // BLOCK, task, v[i : i + BLOCK].astype("<i8").tobytes()) for key, v in counts.items() for i in range(0, len(v), BLOCK)]
+    key, block, at, data = zip(*rows) if rows else ((), (), (), ())
+    return pa.record_batch([pa.array(key, pa.string()), pa.array(block, pa.int32()), pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=["key", "block", "task", "counts"])
+
+
+def summed_counts(parts: DataFrame, size: int) -> dict[str, np.ndarray]:
+    """Sums such rows in two levels, so no task gets more than a share of them, and brings the totals, of fixed size, to the driver."""
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), "<i8") for x in rows.column("counts"))
+        first = rows.slice(0, 1)
+        return pa.table([first.column("key"), first.column("block"), pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["key", "block", "task", "counts"])
+
+    once = parts.withColumn("task", F.col("task") % 64).groupBy("key", "block", "task").applyInArrow(add, COUNTS)
+    out: dict[str, np.ndarray] = {}
+    for key, block, _, data in once.groupBy("key", "block").applyInArrow(add, COUNTS).collect():
+        out.setdefault(key, np.zeros(size, np.int64))[block * BLOCK : block * BLOCK + len(data) // 8] = np.frombuffer(data, "<i8")
+    return out
+
+
+def byte_grams(data: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Bucket of the n bytes (4 at most) from each position on."""
+    if len(data) < n:
+        return np.zeros(0, np.uint32)
+    x = np.zeros(len(data) - n + 1, np.uint32)
+    for i in range(n):
+        x |= data[i : len(data) - n + 1 + i].astype(np.uint32) << np.uint32(8 * i)
+    return (x * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+
+
+def span_sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sum of values from begin to end, for each pair of positions; 0 if end is not after begin."""
+    sums = np.concatenate((np.zeros(1, values.dtype if values.dtype.kind != "b" else np.int64), np.cumsum(values)))
+    return sums[np.maximum(begin, end)] - sums[begin]

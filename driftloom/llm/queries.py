@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import bpe_trie, cost_packing, media_chunks
+from driftloom.llm import bpe_trie, cost_packing, ecoc_langid, media_chunks, quality_llr
 from driftloom.llm.arrowkit import table
 
 
@@ -24,9 +24,17 @@ def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_llr.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_chunks, op5_bpe_trie, op8_cost_packing)}
+def op9_ecoc_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ecoc_langid.predict_languages(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_chunks, op5_bpe_trie, op6_quality_llr, op8_cost_packing, op9_ecoc_langid)}
 ORACLES: dict[str, str] = {}
