@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import bpe_trie, cost_packing, ecoc_langid, media_chunks, quality_llr
+from driftloom.llm import bpe_trie, cost_packing, ecoc_langid, license_scan, media_chunks, quality_llr
 from driftloom.llm.arrowkit import table
 
 
@@ -20,6 +20,10 @@ def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_chunks.media_features(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -36,5 +40,5 @@ def op9_ecoc_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ecoc_langid.predict_languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_chunks, op5_bpe_trie, op6_quality_llr, op8_cost_packing, op9_ecoc_langid)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_chunks, op3_license_scan, op5_bpe_trie, op6_quality_llr, op8_cost_packing, op9_ecoc_langid)}
 ORACLES: dict[str, str] = {}
