@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import bpe_trie, cost_packing, ecoc_langid, license_scan, media_chunks, quality_llr
+from driftloom.llm import bpe_trie, cost_packing, ecoc_langid, license_scan, media_chunks, quality_llr, url_boost
 from driftloom.llm.arrowkit import table
 
 
@@ -40,5 +40,9 @@ def op9_ecoc_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ecoc_langid.predict_languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_chunks, op3_license_scan, op5_bpe_trie, op6_quality_llr, op8_cost_packing, op9_ecoc_langid)}
+def op10_url_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_boost.filter_urls(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_chunks, op3_license_scan, op5_bpe_trie, op6_quality_llr, op8_cost_packing, op9_ecoc_langid, op10_url_boost)}
 ORACLES: dict[str, str] = {}
