@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import bpe_trie, cost_packing, ecoc_langid, license_scan, media_chunks, quality_llr, url_boost
+from driftloom.llm import bpe_trie, cost_packing, ecoc_langid, license_scan, media_chunks, ngram_jaccard, quality_llr, url_boost
 from driftloom.llm.arrowkit import table
 
 
@@ -24,6 +24,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -44,5 +48,5 @@ def op10_url_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_boost.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_chunks, op3_license_scan, op5_bpe_trie, op6_quality_llr, op8_cost_packing, op9_ecoc_langid, op10_url_boost)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_chunks, op3_license_scan, op4_ngram_jaccard, op5_bpe_trie, op6_quality_llr, op8_cost_packing, op9_ecoc_langid, op10_url_boost)}
 ORACLES: dict[str, str] = {}
