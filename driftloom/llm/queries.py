@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import bpe_trie, cost_packing, ecoc_langid, license_scan, media_chunks, ngram_jaccard, quality_llr, url_boost
+from driftloom.llm import bpe_trie, cost_packing, ecoc_langid, license_scan, media_chunks, ngram_jaccard, quality_llr, suffix_dedup, url_boost
 from driftloom.llm.arrowkit import table
 
 
@@ -16,6 +16,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_chunks.media_features(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_url_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_boost.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_chunks, op3_license_scan, op4_ngram_jaccard, op5_bpe_trie, op6_quality_llr, op8_cost_packing, op9_ecoc_langid, op10_url_boost)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_media_chunks, op3_license_scan, op4_ngram_jaccard, op5_bpe_trie, op6_quality_llr, op8_cost_packing, op9_ecoc_langid, op10_url_boost)}
 ORACLES: dict[str, str] = {}
