@@ -283,6 +283,6 @@ def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
 
 
 def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component, that with the least doc_id, with all its columns; equal doc_ids keep one row."""
+    """One document of each component, that with the least doc_id, with all its columns; of rows with that doc_id one, and all with none."""
     found = jaccard_components(docs, n, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi")
+    return docs.where("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import bpe_trie, cost_packing, ecoc_langid, license_scan, media_chunks, ngram_jaccard, quality_llr, suffix_dedup, url_boost
+from driftloom.llm import bpe_trie, cost_packing, ecoc_langid, license_scan, media_chunks, ngram_jaccard, quality_llr, quote_link, suffix_dedup, url_boost
 from driftloom.llm.arrowkit import table
 
 
@@ -40,6 +40,10 @@ def op6_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_quote_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_link.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -52,5 +56,5 @@ def op10_url_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_boost.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_media_chunks, op3_license_scan, op4_ngram_jaccard, op5_bpe_trie, op6_quality_llr, op8_cost_packing, op9_ecoc_langid, op10_url_boost)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_media_chunks, op3_license_scan, op4_ngram_jaccard, op5_bpe_trie, op6_quality_llr, op7_quote_link, op8_cost_packing, op9_ecoc_langid, op10_url_boost)}
 ORACLES: dict[str, str] = {}
