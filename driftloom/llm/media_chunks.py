@@ -1,16 +1,16 @@
 """Media columns with content-defined chunks.
 
 A text's UTF-8 bytes, filled with zero bytes to a positive multiple of 64, are the samples
-of a mono 8-bit PCM WAV file. A rolling gear hash cuts each file where its lowest CUT_BITS
-bits are zero, between LEAST and MOST bytes. Chunks are stored once: a group-by on their
-digest keeps one copy and the set of buckets of documents that use it; the copies go, once
-a bucket, to where the ordered chunk lists of that bucket's documents are, and there the
-files are put together again, checked against their digests and read back.
+of a mono 8-bit PCM WAV file. A rolling gear hash cuts each file where its highest CUT_BITS
+bits are zero, between LEAST and MOST bytes. Chunks are stored once: those of one range of
+digests meet, one copy of each stays, and it joins the ordered chunk lists, bucket by bucket
+of documents; there the files are put together again, checked against their digests and read back.
 
-Hot chunks: each map task emits a chunk's bytes once and (chunk, bucket) once a task, and
-partial aggregation folds these before the shuffle, so a chunk that a third of all
-documents hold makes a row for each task and bucket at most. Bytes travel compressed, with
-a dictionary trained from a bounded sample of texts (SAMPLE_ROWS), which has no effect on results.
+Hot chunks: a map task sends a chunk's bytes once, with the set of buckets that use it, and
+the store sends them once a bucket. So a chunk that a third of all documents hold is there
+once a task and once a bucket at most. Chunks with one destination travel as one compressed
+blob, with a dictionary trained from a bounded sample of texts (SAMPLE_ROWS), which has no effect
+on results.
 
 Result for each document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
 media_bytes, media_sha256, feature, n_chunks. Null text counts as empty; repeated rows
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from driftloom.llm.arrowkit import BYTE_CODE, n_partitions, slices, text_bytes
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long"
-LEAST, MOST, CUT_BITS = 512, 16384, 11
-SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 8192, 65536
+LEAST, MOST, CUT_BITS = 1024, 32768, 12
+#: Chunks of so many bytes of text are packed together before they are sent.
+FLUSH_BYTES, LEVEL = 16 << 20, 9
+SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 1024, 8192, 112640
 DIGEST = 16
 GEAR = (BYTE_CODE >> np.uint64(13)).astype(np.uint32)
 HEADER = 44
@@ -127,24 +129,48 @@ def media_features(docs: DataFrame) -> DataFrame:
     def known():
         return {"dict_data": zstandard.ZstdCompressionDict(words)} if words else {}
 
+    def packed(digests: list[bytes], parts: list[bytes | None], uses: list[list[int]], squeeze) -> bytes:
+        sink = pa.BufferOutputStream()
+        batch = pa.record_batch([pa.array(digests, pa.binary()), pa.array(parts, pa.large_binary()), pa.array(uses, pa.list_(pa.int32()))], names=["digest", "part", "uses"])
+        with pa.ipc.new_stream(sink, batch.schema) as writer:
+            writer.write_batch(batch)
+        return squeeze(sink.getvalue().to_pybytes())
+
+    def unpacked(data: bytes, expand) -> Iterator[tuple[bytes, bytes | None, list[int]]]:
+        held = pa.ipc.open_stream(expand(data)).read_all()
+        return zip(*(held.column(c).to_pylist() for c in ("digest", "part", "uses")))
+
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True, **known()).compress
+        squeeze = zstandard.ZstdCompressor(level=LEVEL, **known()).compress
         sent: set[bytes] = set()
-        for batch in slices(batches, "text"):
-            ids, rows, uses = batch.column(0).to_pylist(), [], set()
+        for batch in slices(batches, "text", FLUSH_BYTES):
+            ids, found = batch.column(0).to_pylist(), {}
             for row, _, parts in chunked(batch):
                 bucket = bucket_of(ids[row], n_buckets)
                 for part in parts:
-                    d = digest(part)
-                    if (d, bucket) not in uses:
-                        uses.add((d, bucket))
-                        rows.append((d, bucket, None if d in sent else squeeze(part)))
-                        sent.add(d)
+                    found.setdefault(digest(part), (part, set()))[1].add(bucket)
+            by: dict[int, list[bytes]] = {}
+            for d in found:
+                by.setdefault(int.from_bytes(d[:4], "little") % n_buckets, []).append(d)
+            data = [packed(ds, [None if d in sent else found[d][0] for d in ds], [sorted(found[d][1]) for d in ds], squeeze) for ds in by.values()]
+            sent.update(found)
             if len(sent) > 1_000_000:
                 sent.clear()
-            if rows:
-                d, bucket, z = zip(*rows)
-                yield pa.record_batch([pa.array(d, pa.binary()), pa.array(bucket, pa.int32()), pa.array(z, pa.binary())], names=["digest", "bucket", "z"])
+            yield pa.record_batch([pa.array(list(by), pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+
+    def store(key: tuple, rows: pa.Table) -> pa.Table:
+        """Keeps one copy of each chunk and sends it, once a bucket, to the documents that use it."""
+        expand, squeeze = zstandard.ZstdDecompressor(**known()).decompress, zstandard.ZstdCompressor(level=LEVEL, **known()).compress
+        held: dict[bytes, bytes] = {}
+        by: dict[int, set[bytes]] = {}
+        for x in rows.column("data"):
+            for d, part, uses in unpacked(x.as_py(), expand):
+                if part is not None:
+                    held[d] = part
+                for bucket in uses:
+                    by.setdefault(bucket, set()).add(d)
+        data = [packed(sorted(ds), [held[d] for d in sorted(ds)], [[]] * len(ds), squeeze) for ds in by.values()]
+        return pa.table([pa.array(list(by), pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -157,11 +183,11 @@ def media_features(docs: DataFrame) -> DataFrame:
 
     def rebuild(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor(**known()).decompress
-        held = dict(zip(right.column("digest").to_pylist(), right.column("z").to_pylist()))
+        held = {d: part for x in right.column("data") for d, part, _ in unpacked(x.as_py(), expand)}
         rows = []
         for doc, n, sha, digests in zip(*(left.column(c).to_pylist() for c in ("doc_id", "n_bytes", "sha", "digests"))):
             order = [digests[i : i + DIGEST] for i in range(0, len(digests), DIGEST)]
-            media = b"".join(expand(held[d]) for d in order)
+            media = b"".join(held[d] for d in order)
             if hashlib.sha256(media).digest() != sha:
                 raise ValueError(f"document {doc}: the stored file differs from what was written")
             payload = samples(media)
@@ -170,7 +196,6 @@ def media_features(docs: DataFrame) -> DataFrame:
         columns = list(zip(*rows)) or [()] * len(names)
         return pa.table({k: pa.array(c, pa.string() if k in ("payload_sha256", "media_sha256", "feature") else pa.int64()) for k, c in zip(names, columns)})
 
-    store = docs.mapInArrow(chunks, "digest binary, bucket int, z binary").groupBy("digest").agg(F.first("z", ignorenulls=True).alias("z"), F.collect_set("bucket").alias("buckets"))
-    sent = store.select(F.explode("buckets").alias("bucket"), "digest", "z")
+    sent = docs.mapInArrow(chunks, "part int, data binary").groupBy("part").applyInArrow(store, "bucket int, data binary")
     ordered = docs.mapInArrow(lists, "doc_id long, bucket int, n_bytes long, sha binary, digests binary")
     return ordered.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(rebuild, SCHEMA)
