@@ -8,6 +8,8 @@ code. A batch is cut into slices of a few MB of text, so memory follows the slic
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import gc
 import uuid
 from collections.abc import Iterator
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 U = np.uint64
 
 _rng = np.random.default_rng(20240229)
@@ -85,6 +87,29 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             begin = end
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, so that long texts don't make large ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")
+
+
+def release() -> None:
+    """Gives freed memory back to the system; a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def releasing(work):
+    """work over batches, and release() after the last."""
+
+    @functools.wraps(work)
+    def until_end(batches):
+        yield from work(batches)
+        release()
+
+    return until_end
+
+
 @contextlib.contextmanager
 def no_gc():
     """Python's cycle search is off inside: it takes longer than code that makes many small objects and no cycles."""

@@ -2,8 +2,8 @@
 
 A document's set has the hashes of its distinct n-word shingles; documents with equal sets are
 one class from the start. Two sets A and B link when den * |A & B| >= num * |A | B|. The global
-order of shingles is that of their hashes, with those in very many documents last, and the hash
-range is cut into fragments:
+order of shingles is by the number of sets that hold them, HOT counting as most, then by hash, and the
+hash range is cut into fragments:
 
 1. Each fragment gets all sets' shingles in its range and tells which stand in two sets or more;
    only these can count. They go back to their sets, and a set of which less than num / den is
@@ -34,20 +34,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.arrowkit import U, Words, cut_lineage, n_partitions, shingle_sets, slices, text_bytes
+from driftloom.llm.arrowkit import U, Words, cut_lineage, n_partitions, release, releasing, shingle_sets, slices, small_batches, text_bytes
 from driftloom.llm.components import connected_components
 
 N, NUM, DEN = 4, 85, 100
 HOT = 64
 BLOCK = 1024
-FLUSH_GRAMS = 4_000_000
-#: Shingles that are put last in the order, as being in very many sets; it changes the work, not the result.
-COMMON, COMMON_SHARE = 50_000, 1000
+FLUSH_GRAMS = 1_000_000
 FRAGMENT = 4096
-PARTS = "frag int, kind int, bucket int, gram long, count long, data binary"
+PARTS = "frag int, kind int, flush long, gram long, data binary"
+FLUSH_SETS = 60_000
 
 
 def set_ids(sets: list[np.ndarray]) -> list[bytes]:
@@ -58,34 +59,24 @@ def sets_of(column: pa.Array, n: int) -> list[np.ndarray]:
     return shingle_sets(Words(*text_bytes(column), lower=True), n)
 
 
-def _pack(sid: np.ndarray, n: np.ndarray, gram: np.ndarray) -> bytes:
-    """Rows sorted by sid: ids, sizes and numbers of shingles of each set, then all shingles."""
-    first = np.flatnonzero(np.concatenate(([True], sid[1:] != sid[:-1]))) if len(sid) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(sid)))
-    return np.array([len(first)], "<u4").tobytes() + sid[first].astype("<u8").tobytes() + n[first].astype("<u4").tobytes() + size.astype("<u4").tobytes() + gram.astype("<u8").tobytes()
+def _pack(at: np.ndarray, gram: np.ndarray, often: np.ndarray | None = None) -> bytes:
+    """Shingles of sets of one flush: numbers of the sets, ascending, as differences, how many sets hold each (HOT at most), then the shingles."""
+    gaps = np.diff(at, prepend=0).astype("<u2")
+    often = np.zeros(len(gram), "u1") if often is None else often.astype("u1")
+    return zstandard.ZstdCompressor(level=1).compress(gaps.tobytes() + often.tobytes()) + gram.astype("<u8").tobytes() + np.array([len(gram)], "<u4").tobytes()
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k = int(np.frombuffer(data, "<u4", 1)[0])
-    sid = np.frombuffer(data, "<u8", k, 4)
-    n = np.frombuffer(data, "<u4", k, 4 + 8 * k)
-    size = np.frombuffer(data, "<u4", k, 4 + 12 * k)
-    return np.repeat(sid, size), np.repeat(n, size), np.frombuffer(data, "<u8", -1, 4 + 16 * k)
-
-
-def _bucketed(sid: np.ndarray, n: np.ndarray, gram: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
-    bucket = (sid >> U(40)) % U(n_buckets)
-    order = np.lexsort((sid, bucket))
-    sid, n, gram, bucket = sid[order], n[order], gram[order], bucket[order]
-    edges = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket)) if len(bucket) else [0]
-    for a, b in zip(edges[:-1], edges[1:]):
-        yield int(bucket[a]), _pack(sid[a:b], n[a:b], gram[a:b])
+    n = int(np.frombuffer(data[-4:], "<u4")[0])
+    gram = np.frombuffer(data, "<u8", n, len(data) - 4 - 8 * n)
+    head = zstandard.ZstdDecompressor().decompress(data[: len(data) - 4 - 8 * n])
+    return np.cumsum(np.frombuffer(head, "<u2", n).astype(np.int64)), np.frombuffer(head, "u1", n, 2 * n), gram
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * 6
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["frag", "kind", "bucket", "gram", "count", "data"])
+    columns = list(zip(*rows)) or [()] * 5
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["frag", "kind", "flush", "gram", "data"])
 
 
 def classes(docs: DataFrame, n: int = N) -> DataFrame:
@@ -97,102 +88,113 @@ def classes(docs: DataFrame, n: int = N) -> DataFrame:
             ids = set_ids(sets)
             yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array([int.from_bytes(x[:8], "little", signed=True) for x in ids], pa.int64())], names=["doc_id", "n_shingles", "digest", "sid"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, digest binary, sid long")
+    return docs.select("doc_id", "text").mapInArrow(releasing(work), "doc_id long, n_shingles long, digest binary, sid long")
 
 
 def shared_shingles(docs: DataFrame, n: int, n_frags: int) -> DataFrame:
-    """Step 1: rows of kind 1 (shared shingles of sets, by bucket) and of kind 2 (counts of common shingles)."""
+    """Step 1: rows of kind 1 (shared shingles of a flush's sets) and 3 (a flush's sets).
 
-    def flush(sets: dict[bytes, np.ndarray]) -> list[tuple]:
+    A flush is what a map task has gathered: its sets are numbered, so that a fragment needs
+    a few bits for each shingle's set; ids and sizes go along once.
+    """
+
+    def flush(sets: dict[bytes, np.ndarray], number: int) -> list[tuple]:
         size = np.array([len(s) for s in sets.values()], np.int64)
-        sid = np.repeat(np.array([int.from_bytes(x[:8], "little") for x in sets], np.uint64), size)
+        ids = np.array([int.from_bytes(x[:8], "little") for x in sets], "<u8")
+        at = np.repeat(np.arange(len(size)), size)
         gram = np.concatenate(list(sets.values()))
-        width = np.repeat(size, size)
-        order = np.lexsort((sid, gram))
-        gram, sid, width = gram[order], sid[order], width[order]
-        first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+        order = np.argsort(gram, kind="stable")
+        ordered = gram[order]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         count = np.diff(np.append(first, len(gram)))
         hot = count >= HOT
-        each = np.repeat(hot, count)
-        out = [(b % n_frags, 1, b, None, None, data) for b, data in _bucketed(sid[each], width[each], gram[each], n_frags)]
+        each = np.zeros(len(gram), dtype=bool)
+        each[order] = np.repeat(hot, count)
         frag_of = lambda g: (g >> U(32)).astype(np.int64) * n_frags >> 32
-        g = gram[first[hot]]
-        out += [(int(f), 2, None, int(x), int(c), None) for f, x, c in zip(frag_of(g), g.view(np.int64), count[hot])]
-        gram, sid, width = gram[~each], sid[~each], width[~each]
+        home = number % n_frags
+        out = [(home, 3, number, None, ids.tobytes() + size.astype("<u8").tobytes())]
+        if each.any():
+            out.append((home, 1, number, None, _pack(at[each], gram[each], np.full(int(each.sum()), HOT))))
+        g = ordered[first[hot]]
+        out += [(int(f), 2, None, int(x), None) for f, x in zip(frag_of(g), g.view(np.int64))]
+        at, gram = at[~each], gram[~each]
         frag = frag_of(gram)
-        order = np.lexsort((sid, frag))
-        gram, sid, width, frag = gram[order], sid[order], width[order], frag[order]
-        edges = np.searchsorted(frag, np.arange(n_frags + 1))
-        out += [(f, 0, None, None, None, _pack(sid[a:b], width[a:b], gram[a:b])) for f, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+        order = np.argsort(frag, kind="stable")
+        at, gram = at[order], gram[order]
+        edges = np.searchsorted(frag[order], np.arange(n_frags + 1))
+        out += [(f, 0, number, None, _pack(at[a:b], gram[a:b])) for f, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
         return out
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}
-        total = 0
+        total, number = 0, TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text"):
             sets = [s for s in sets_of(batch.column(0), n) if len(s)]
             for key, s in zip(set_ids(sets), sets):
                 if key not in held:
                     held[key] = s
                     total += len(s)
-            if total > FLUSH_GRAMS:
-                yield _rows(flush(held))
-                held, total = {}, 0
+                if total > FLUSH_GRAMS or len(held) >= FLUSH_SETS:
+                    yield _rows(flush(held, number))
+                    held, total, number = {}, 0, number + 1
         if held:
-            yield _rows(flush(held))
+            yield _rows(flush(held, number))
 
     def fragment(key: tuple, rows: pa.Table) -> pa.Table:
-        out, parts, grams, counts = [], [], [], []
-        for kind, bucket, gram, count, data in zip(*(rows.column(c).to_pylist() for c in ("kind", "bucket", "gram", "count", "data"))):
-            if kind == 1:
-                out.append((key[0], 1, bucket, None, None, data))
+        out, parts, grams, flushes = [], [], [], []
+        for kind, number, gram, data in zip(*(rows.column(c) for c in ("kind", "flush", "gram", "data"))):
+            kind = kind.as_py()
+            if kind in (1, 3):
+                out.append((key[0].as_py(), kind, number.as_py(), None, data.as_py()))
             elif kind == 2:
-                grams.append(gram)
-                counts.append(count)
+                grams.append(gram.as_py())
             else:
-                parts.append(_unpack(data))
-        hot = np.array(grams, np.int64).view(np.uint64)
-        count = np.array(counts, np.int64)
+                at, _, g = _unpack(data.as_py())
+                parts.append((at + (len(flushes) << 16), g))
+                flushes.append(number.as_py())
         if parts:
-            sid, width, gram = (np.concatenate(x) for x in zip(*parts))
+            owner, gram = (np.concatenate(x) for x in zip(*parts))
             parts.clear()
-            order = np.lexsort((sid, gram))
-            sid, width, gram = sid[order], width[order], gram[order]
-            new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (sid[1:] != sid[:-1])))
-            sid, width, gram = sid[new], width[new], gram[new]
-            first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+            order = np.argsort(gram, kind="stable")
+            ordered = gram[order]
+            first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
             size = np.diff(np.append(first, len(gram)))
-            shared = np.repeat((size > 1) | np.isin(gram[first], hot), size)
-            out += [(key[0], 1, b, None, None, data) for b, data in _bucketed(sid[shared], width[shared], gram[shared], n_frags)]
-            often = size >= HOT
-            hot, count = np.append(hot, gram[first[often]]), np.append(count, size[often])
-        if len(hot):
-            each, where = np.unique(hot, return_inverse=True)
-            total = np.bincount(where, weights=count).astype(np.int64)
-            out += [(key[0], 2, None, int(g), int(c), None) for g, c in zip(each.view(np.int64), total)]
+            hot = np.isin(ordered[first], np.array(grams, np.int64).view(np.uint64))
+            often = np.empty(len(gram), "u1")
+            often[order] = np.repeat(np.where(hot, HOT, np.minimum(size, HOT)), size)
+            # owners ascend, as parts came flush by flush
+            shared = often > 1
+            owner, gram, often = owner[shared], gram[shared], often[shared]
+            edges = np.searchsorted(owner, np.arange(len(flushes) + 1) << 16)
+            out += [(key[0].as_py(), 1, flushes[i], None, _pack(owner[a:b] - (i << 16), gram[a:b], often[a:b])) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+        release()
         return pa.Table.from_batches([_rows(out)])
 
-    return docs.select("text").mapInArrow(send, PARTS).groupBy("frag").applyInArrow(fragment, PARTS)
+    return docs.select("text").mapInArrow(releasing(send), PARTS).groupBy("frag").applyInArrow(fragment, PARTS)
 
 
-def candidates(shared: DataFrame, common: np.ndarray, num: int, den: int) -> DataFrame:
-    """Step 2, first part: sid, n, prefix (number of leading shingles to match on), grams (in the global order)."""
+def candidates(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """Step 2, first part: sid, n, prefix (number of leading shingles to match on), grams (in the global order). Sets of several flushes come several times."""
 
     def work(key: tuple, rows: pa.Table) -> pa.Table:
-        sid, width, gram = (np.concatenate(x) for x in zip(*(_unpack(x.as_py()) for x in rows.column("data"))))
-        order = np.lexsort((gram, np.isin(gram, common), sid))
-        sid, width, gram = sid[order], width[order], gram[order]
-        new = np.concatenate(([True], (sid[1:] != sid[:-1]) | (gram[1:] != gram[:-1])))
-        sid, width, gram = sid[new], width[new].astype(np.int64), gram[new]
-        first = np.flatnonzero(np.concatenate(([True], sid[1:] != sid[:-1])))
-        size = np.diff(np.append(first, len(sid)))
-        n = width[first]
+        parts, ids, size = [], None, None
+        for kind, data in zip(rows.column("kind"), rows.column("data")):
+            if kind.as_py() == 3:
+                ids, size = np.frombuffer(data.as_py(), "<u8").reshape(2, -1)
+            else:
+                parts.append(_unpack(data.as_py()))
+        at, often, gram = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.uint64))
+        order = np.lexsort((gram, often, at))
+        at, gram = at[order], gram[order]
+        first = np.searchsorted(at, np.arange(len(ids)))
+        held = np.diff(np.append(first, len(at)))
+        n = size.astype(np.int64)
         need = -(-num * n // den)
-        keep = np.flatnonzero(size >= need)
-        data = [gram[a : a + s].astype("<u8").tobytes() for a, s in zip(first[keep], size[keep])]
-        return pa.table([pa.array(sid[first[keep]].view(np.int64)), pa.array(n[keep]), pa.array((size - need + 1)[keep]), pa.array(data, pa.binary())], names=["sid", "n", "prefix", "grams"])
+        keep = np.flatnonzero(held >= need)
+        data = [gram[a : a + s].astype("<u8").tobytes() for a, s in zip(first[keep], held[keep])]
+        return pa.table([pa.array(ids[keep].view(np.int64)), pa.array(n[keep]), pa.array((held - need + 1)[keep]), pa.array(data, pa.binary())], names=["sid", "n", "prefix", "grams"])
 
-    return shared.where("kind = 1").select("bucket", "data").groupBy("bucket").applyInArrow(work, "sid long, n long, prefix long, grams binary")
+    return shared.where("kind in (1, 3)").select("flush", "kind", "data").groupBy("flush").applyInArrow(work, "sid long, n long, prefix long, grams binary")
 
 
 def prefix_rows(sets: DataFrame) -> DataFrame:
@@ -252,11 +254,10 @@ def link_components(n: np.ndarray, grams: list[np.ndarray], num: int, den: int)
 def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row per document; see above."""
     spark = docs.sparkSession
+    small_batches(spark)
     table = cut_lineage(classes(docs, n))
-    shared = cut_lineage(shared_shingles(docs, n, n_partitions(spark)))
-    total = table.count()
-    common = shared.where("kind = 2").where(F.col("count") >= max(HOT, total // COMMON_SHARE)).orderBy(F.desc("count"), "gram").limit(COMMON).select("gram").collect()
-    sets = cut_lineage(candidates(shared, np.array([r.gram for r in common], np.int64).view(np.uint64), num, den))
+    shared = cut_lineage(shared_shingles(docs, n, 2 * n_partitions(spark)))
+    sets = cut_lineage(candidates(shared, num, den))
 
     keys = prefix_rows(sets)
     least = keys.groupBy("gram").agg(F.min("sid").alias("m"), F.count("*").alias("c")).where("c > 1").select("gram", "m")
@@ -273,7 +274,7 @@ def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
         off = np.flatnonzero(label != np.arange(len(sid)))
         return pa.table([pa.array(sid[off]), pa.array(sid[label[off]])], names=["a", "b"])
 
-    met = sets.join(placed, "sid").select("sid", "n", "grams", "root", F.explode(meet).alias("p")).select("sid", "n", "grams", "root", "p.i", "p.j")
+    met = sets.join(placed, "sid").dropDuplicates(["sid"]).select("sid", "n", "grams", "root", F.explode(meet).alias("p")).select("sid", "n", "grams", "root", "p.i", "p.j")
     links = met.groupBy("root", "i", "j").applyInArrow(link, "a long, b long")
     roots = connected_components(links)
     least_doc = table.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc"))
