@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from driftloom.llm.arrowkit import no_gc, slices
+from driftloom.llm.arrowkit import no_gc, releasing, slices, small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 CAPACITY, END_ID = 4096, 2
-#: Tokens that are packed together: about a thousand sequences.
-RUN_TOKENS = 1 << 22
-MOST_WORDS = 800_000
+#: Tokens that are packed together: about five hundred sequences.
+RUN_TOKENS = 1 << 21
+MOST_WORDS = 400_000
 #: Words that go to the library as one text.
 JOINED = 256
 #: Fixed value: how the vocabulary's file splits lower-cased text, for Latin-1 characters.
@@ -130,6 +130,7 @@ def pack_run(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Packs all documents; see above. path: a word-end BPE file of the tokenizers library, there on every machine."""
     end = end_id.to_bytes(4, "little")
+    small_batches(docs.sparkSession)
 
     def run(ids: list, codes: list[bytes], first: int) -> tuple[pa.RecordBatch, int]:
         lengths = np.fromiter((len(c) // 4 for c in codes), np.int64, len(codes))
@@ -155,4 +156,4 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
         if codes:
             yield run(ids, codes, first)[0]
 
-    return docs.select("doc_id", "text").mapInArrow(work, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(releasing(work), SCHEMA)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.arrowkit import COUNTS, byte_grams, count_rows, slices, span_sums, summed_counts, text_bytes
+from driftloom.llm.arrowkit import COUNTS, byte_grams, count_rows, releasing, slices, small_batches, span_sums, summed_counts, text_bytes
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
 GRAM, BITS = 3, 14
@@ -107,6 +107,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame) -> Model:
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null").where(~held_out()).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +128,7 @@ def fit(docs: DataFrame) -> Model:
         if counts:
             yield count_rows(counts, TaskContext.get().partitionId())
 
-    return Model(summed_counts(rows.mapInArrow(count, COUNTS), 1 << BITS))
+    return Model(summed_counts(rows.mapInArrow(releasing(count), COUNTS), 1 << BITS))
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def predict_languages(docs: DataFrame) -> DataFrame:
             langs, score, ambiguous = model.predict(batch.column(1))
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(score), pa.array(ambiguous)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(work, SCHEMA)
+    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(releasing(work), SCHEMA)
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
@@ -153,4 +154,4 @@ def filter_documents(docs: DataFrame) -> DataFrame:
             langs, _, ambiguous = model.predict(batch.column(batch.schema.get_field_index("text")))
             yield batch.filter(pa.array(np.array([x != "und" for x in langs], dtype=bool) & ~ambiguous))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(releasing(work), docs.schema)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.arrowkit import COUNTS, IS_SPACE, U, Words, byte_grams, count_rows, mix, slices, span_sums, summed_counts, text_bytes
+from driftloom.llm.arrowkit import COUNTS, IS_SPACE, U, Words, byte_grams, count_rows, mix, releasing, slices, small_batches, span_sums, summed_counts, text_bytes
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double"
 GRAM, BITS = 4, 14
@@ -98,6 +98,7 @@ def judge(column: pa.Array, ratios: np.ndarray | None) -> dict[str, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
     """log(target / raw) of each bucket, or None without trusted rows."""
+    small_batches(docs.sparkSession)
     trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).withColumn("_trusted", F.lit(True))
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left").select("text", F.coalesce("_trusted", F.lit(False)).alias("trusted"))
 
@@ -115,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
             counts["target"] += np.bincount(grams[inside & trusted], minlength=1 << BITS)
         yield count_rows(counts, TaskContext.get().partitionId())
 
-    total = summed_counts(marked.mapInArrow(count, COUNTS), 1 << BITS)
+    total = summed_counts(marked.mapInArrow(releasing(count), COUNTS), 1 << BITS)
     if not total or not total["target"].any():
         return None
     log = {k: np.log((v + 1) / (v.sum() + len(v))) for k, v in total.items()}
@@ -131,7 +132,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
             out = judge(batch.column(1), ratios)
             yield pa.record_batch([batch.column(0), *map(pa.array, out.values())], names=["doc_id", *out])
 
-    return docs.select("doc_id", "text").mapInArrow(work, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(releasing(work), SCHEMA)
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -142,4 +143,4 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             yield batch.filter(pa.array(judge(batch.column(batch.schema.get_field_index("text")), ratios)["kept"]))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(releasing(work), docs.schema)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.arrowkit import U, cut_lineage, mix, n_partitions, slices, text_bytes
+from driftloom.llm.arrowkit import U, cut_lineage, mix, n_partitions, release, releasing, slices, small_batches, text_bytes
 
 LENGTH, ANCHOR = 50, 8
 LEFT = LENGTH - ANCHOR
@@ -43,7 +43,7 @@ ROW = 96
 SPLIT = 22
 RIGHT_CORE, LEFT_CORE = (LEFT, LEFT + 30), (SPLIT, LENGTH)
 SHALLOW = 24
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES, CARRY_BYTES = 6 << 20, 8 << 20
 CHUNK = 1 << 18
 _KEYS = np.random.default_rng(7).integers(1, 2**63, ROW // 8, dtype=np.uint64) * U(2) + U(1)
 META = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("at", "<u4"), ("u", "u1"), ("v", "u1")])
@@ -345,11 +345,13 @@ def removed_spans(docs: DataFrame, n_buckets: int) -> DataFrame:
             rec, meta = np.concatenate(recs), np.concatenate(metas)
             recs.clear()
             out += span_rows(resolve(rec, meta), squeeze)
+            del rec, meta
+        release()
         return pa.Table.from_batches([_blobs(out)])
 
     kind = "bucket int, kind int, rec binary, meta binary"
     texts = docs.where("doc_id is not null").select("doc_id", F.pmod(F.xxhash64("text"), F.lit(65536)).alias("tag"), "text")
-    return texts.mapInArrow(cut, kind).groupBy("bucket").applyInArrow(meet, kind).select("bucket", F.col("meta").alias("spans"))
+    return texts.mapInArrow(releasing(cut), kind).groupBy("bucket").applyInArrow(meet, kind).select("bucket", F.col("meta").alias("spans"))
 
 
 def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -363,6 +365,7 @@ def _applied(docs: DataFrame, schema, finish) -> DataFrame:
     """Brings documents (all columns) and their runs together; finish(table, runs of each row) gives the result."""
     import zstandard
 
+    small_batches(docs.sparkSession)
     n_buckets = 4 * n_partitions(docs.sparkSession)
     spans = cut_lineage(removed_spans(docs, n_buckets))
     tagged = docs.withColumn("_tag", F.pmod(F.xxhash64("text"), F.lit(65536)))
@@ -370,7 +373,7 @@ def _applied(docs: DataFrame, schema, finish) -> DataFrame:
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for batch in slices(batches, "text", FLUSH_BYTES):
+        for batch in slices(batches, "text", CARRY_BYTES):
             ids = np.array([x or 0 for x in batch.column(names.index("doc_id")).to_pylist()], np.int64)
             out = []
             for k, rows in parted(home(ids, n_buckets), n_buckets):
@@ -399,9 +402,10 @@ def _applied(docs: DataFrame, schema, finish) -> DataFrame:
                     mine = mine[mine["tag"] == tag]
                 runs.append(merged(mine) if len(mine) else (np.zeros(0, np.int64),) * 2)
             out.append(finish(table, runs))
+        release()
         return pa.concat_tables(out)
 
-    carried = tagged.mapInArrow(carry, "bucket int, rows binary")
+    carried = tagged.mapInArrow(releasing(carry), "bucket int, rows binary")
     return carried.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(join, schema)
 
 
