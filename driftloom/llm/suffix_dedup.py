@@ -6,10 +6,11 @@ string (its anchor, the leftmost of equal ones) depend on the string alone, so e
 meet wherever they stand. Consecutive strings with one anchor travel as one record, at most
 42 bytes to the left of the anchor and 50 from it on.
 
-1. Map tasks cut their texts into records. Of equal records in a task the one of the least doc_id
-   is sent on, the others are already decided. So what a task sends of a string that a third of all
-   documents hold is one record.
-2. Each anchor's records meet in a bucket, where equal ones are folded again. Strings whose 28 or 30 bytes around
+1. Map tasks cut their texts into records. Of equal records in a flush one of the least doc_id
+   is sent on, with the places of that document's other ones; those of larger doc_ids are already
+   decided. So what a flush sends of a string that a third of all documents hold is one record.
+2. Each anchor's records meet in a bucket, where equal ones are folded again. What goes of a record goes
+   at all its places. Strings whose 28 or 30 bytes around
    the anchor stand in one document only can't repeat and drop out. The suffixes of the others are
    ordered: a multikey quicksort on 8 bytes at a time splits all open groups down to SHALLOW bytes,
    then a blind trie orders each group that still has a common prefix. Neighbours with 50 equal
@@ -46,7 +47,7 @@ SHALLOW = 24
 FLUSH_BYTES, CARRY_BYTES = 6 << 20, 8 << 20
 CHUNK = 1 << 18
 _KEYS = np.random.default_rng(7).integers(1, 2**63, ROW // 8, dtype=np.uint64) * U(2) + U(1)
-META = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("at", "<u4"), ("u", "u1"), ("v", "u1")])
+META = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("at", "<u4"), ("u", "u1"), ("v", "u1"), ("again", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("begin", "<u4"), ("end", "<u4")])
 
 
@@ -94,11 +95,11 @@ def records(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         yield rec, doc[a:b], first[a:b] - at[doc[a:b]], u, v
 
 
-def fold(rec: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that stay, one of each class of equal records, of the least document; and the rows of other documents in the class."""
+def fold(rec: np.ndarray, meta: np.ndarray) -> np.ndarray:
+    """For each row the row that stands for its class of equal records, one of the least document; -1 for rows of other documents in the class."""
+    stands = np.full(len(rec), -1, np.int64)
     if not len(rec):
-        none = np.zeros(0, np.int64)
-        return none, none
+        return stands
     words = rec.view("<u8")
     key = np.zeros(len(rec), np.uint64)
     for i in range(words.shape[1]):
@@ -107,9 +108,10 @@ def fold(rec: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((meta["doc"], mix(key)))
     w, k = words[order], meta[order]
     same = np.concatenate(([False], (w[1:] == w[:-1]).all(1) & (k["u"][1:] == k["u"][:-1]) & (k["v"][1:] == k["v"][:-1])))
-    head = np.flatnonzero(~same)
-    least = np.repeat(k["doc"][head], np.diff(np.append(head, len(k))))
-    return order[head], order[k["doc"] > least]
+    head = np.flatnonzero(~same)[np.cumsum(~same) - 1]
+    least = k["doc"] == k["doc"][head]
+    stands[order[least]] = order[head[least]]
+    return stands
 
 
 def spans_of(meta: np.ndarray) -> np.ndarray:
@@ -210,10 +212,18 @@ def deep_shallow(flat: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def resolve(rec: np.ndarray, meta: np.ndarray) -> np.ndarray:
-    """What goes in the documents of a bucket's records."""
-    stay, lost = fold(rec, meta)
-    out = [spans_of(meta[lost])]
-    rec, meta = rec[stay], meta[stay]
+    """What goes in the documents of a bucket's records. meta also has a row, marked again, for each other place of a record."""
+    first = meta["again"] == 0
+    stands = fold(rec, meta[first])
+    of = stands[np.cumsum(first) - 1]
+    out = [spans_of(meta[of < 0])]
+    stay = np.flatnonzero(stands == np.arange(len(stands)))
+    # all places of the records that stay, record by record
+    by = np.argsort(of, kind="stable")
+    by = by[np.count_nonzero(of < 0) :]
+    places, of = meta[by], np.searchsorted(stay, of[by])
+    edges = np.searchsorted(of, np.arange(len(stay) + 1))
+    rec, meta = rec[stay], meta[first][stay]
     row, place = [], []
     u, v = meta["u"].astype(np.int64), meta["v"].astype(np.int64)
     for (a, b), low, high in ((RIGHT_CORE, np.maximum(u, SPLIT), v), (LEFT_CORE, u, np.minimum(v, SPLIT - 1))):
@@ -247,11 +257,13 @@ def resolve(rec: np.ndarray, meta: np.ndarray) -> np.ndarray:
             r, p = r[by], p[by]
             head = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1))))
             tail = np.append(head[1:], len(r)) - 1
-            found = np.zeros(len(head), SPAN)
-            m = meta[r[head]]
+            n = np.diff(edges)[r[head]]
+            run = np.repeat(np.arange(len(head)), n)
+            m = places[np.repeat(edges[r[head]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+            found = np.zeros(len(m), SPAN)
             found["doc"], found["tag"] = m["doc"], m["tag"]
-            found["begin"] = m["at"] + p[head] - m["u"]
-            found["end"] = m["at"] + p[tail] - m["u"] + LENGTH
+            found["begin"] = m["at"] + p[head][run] - m["u"]
+            found["end"] = m["at"] + p[tail][run] - m["u"] + LENGTH
             out.append(found)
     return np.concatenate(out)
 
@@ -302,14 +314,17 @@ def removed_spans(docs: DataFrame, n_buckets: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             rec, meta = (np.concatenate(x) for x in zip(*held))
-            stay, lost = fold(rec, meta)
-            out = span_rows(spans_of(meta[lost]), squeeze)
-            stay.sort()
-            rec, meta = rec[stay], meta[stay]
-            word = np.ascontiguousarray(rec[:, LEFT : LEFT + ANCHOR]).view("<u8")[:, 0]
+            stands = fold(rec, meta)
+            out = span_rows(spans_of(meta[stands < 0]), squeeze)
+            # a record's places follow it
+            rows = np.argsort(stands, kind="stable")[np.count_nonzero(stands < 0) :]
+            stands = stands[rows]
+            meta = meta[rows]
+            meta["again"] = stands != rows
+            word = np.ascontiguousarray(rec[stands, LEFT : LEFT + ANCHOR]).view("<u8")[:, 0]
             bucket = (mix(word) >> U(33)).astype(np.int64) % n_buckets
             for k, rows in parted(bucket, n_buckets):
-                out.append((k, 0, squeeze(rec[rows, :WIDE].tobytes()), squeeze(planes(meta[rows]))))
+                out.append((k, 0, squeeze(rec[stands[rows[meta["again"][rows] == 0]], :WIDE].tobytes()), squeeze(planes(meta[rows]))))
             return _blobs(out)
 
         for batch in slices(batches, "text"):
@@ -338,7 +353,7 @@ def removed_spans(docs: DataFrame, n_buckets: int) -> DataFrame:
                 out.append((key[0], 1, None, meta.as_py()))
                 continue
             metas.append(unplanes(expand(meta.as_py()), META))
-            whole = np.zeros((len(metas[-1]), ROW), np.uint8)
+            whole = np.zeros((np.count_nonzero(metas[-1]["again"] == 0), ROW), np.uint8)
             whole[:, :WIDE] = np.frombuffer(expand(rec.as_py()), np.uint8).reshape(-1, WIDE)
             recs.append(whole)
         if recs:

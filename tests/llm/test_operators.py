@@ -39,6 +39,18 @@ def test_suffix_dedup_is_brute_force(docs):
     assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == H.key(H.removed(H.cases()))
 
 
+@pytest.mark.parametrize("flush", [suffix_dedup.FLUSH_BYTES, 1])
+def test_suffix_dedup_removes_all_copies_in_a_larger_document(spark, monkeypatch, flush):
+    monkeypatch.setattr(suffix_dedup, "FLUSH_BYTES", flush)
+    rng = random.Random(11)
+    passage, other = H.sentence(rng, 30), H.sentence(rng, 30)
+    left = [(5, passage + " five", "en"), (6, other + other, "en")]
+    right = [(900, f"one {passage} two {passage} three {passage}", "en"), (900, f"{passage}{passage}{other}", "en"), (901, f"{passage}\n{passage}", "en"), (4, other + " a " + other, "en")]
+    rows = left + right
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(spark.sparkContext.parallelize([left, right], 2).flatMap(lambda x: x), "doc_id long, text string, lang string"))
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == H.key(H.removed(rows))
+
+
 def test_suffix_dedup_empty_table(empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
