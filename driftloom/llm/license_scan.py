@@ -3,7 +3,7 @@
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased. A cheap test
 for a few strings decides whether a text can hold any signature; for the others only words
 are counted. Where it can, each word that begins some rule (its keyword) is an anchor: the
-up to REACH words from there on, joined by single spaces, are matched against that keyword's
+words from there on, as many as its longest rule can take and joined by single spaces, are matched against that keyword's
 rules only, each an anchored regular expression with a label and a priority. A match is an
 interval of words. Intervals are sorted by start, longest first and highest priority first, and
 folded once: one that lies within an interval before it of the same or a higher priority is
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 #: Fixed value: characters that are no part of a word.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-REACH = 16
 TOP = 5
 
 #: Base phrases and their labels.
@@ -154,6 +153,11 @@ def keywords(rule: str) -> list[str]:
     return [first]
 
 
+def longest(rule: str) -> int:
+    """Most words that a match can have: no rule repeats a space, so one more than it has spaces; at times too many where it has alternatives."""
+    return 1 + rule.count(" ")
+
+
 #: Strings of which a text must hold one to hold any signature; cc and by must stand apart from each other by a gap.
 GATES = ("licen", "gpl", "reserved", "copyright", "commons", "domain", "redistribution", "permission", "proprietary", "unauthori", "warrant", "spdx", "mpl", "neither", "unencumbered", "cc0", "clause", "bsd")
 GATE_CC = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
@@ -178,6 +182,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             by_word.setdefault(w, []).append(i)
     anchors = "(" + ", ".join(map(_sql_text, sorted(by_word))) + ")"
     number = "map(" + ", ".join(f"{_sql_text(w)}, array({', '.join(map(str, ids))})" for w, ids in sorted(by_word.items())) + ")"
+    reach_of = "map(" + ", ".join(f"{_sql_text(w)}, {max(longest(table[i][2]) for i in ids)}" for w, ids in sorted(by_word.items())) + ")"
     listed = "array(" + ", ".join(f"named_struct('label', {_sql_text(label)}, 'priority', {p}, 'rule', {_sql_text('^(?:' + rule + ')(?= |$)')}, 'base', {str(base).lower()})" for label, p, rule, base in table) + ")"
 
     low = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("_low"))
@@ -198,7 +203,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         "n_words",
         F.expr(
             f"""flatten(transform(_at, i -> transform(
-                  array(array_join(slice(_words, i + 1, {REACH}), ' ')),
+                  array(array_join(slice(_words, i + 1, element_at({reach_of}, element_at(_words, i + 1))), ' ')),
                   near -> filter(transform(element_at({number}, element_at(_words, i + 1)),
                     k -> named_struct('start', i,
                                       'size', regexp_count(regexp_extract(near, element_at({listed}, k + 1).rule, 0), '[^ ]+'),

@@ -145,6 +145,58 @@ def test_license_base_columns(spark, docs):
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in by.values())
 
 
+def longest_text(parsed):
+    """A text of the longest form of a regular expression."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "MAX_REPEAT":
+            out += longest_text(arg[2]) * arg[1]
+        elif name == "SUBPATTERN":
+            out += longest_text(arg[3])
+        elif name == "BRANCH":
+            out += max(map(longest_text, arg[1]), key=lambda x: x.count(" "))
+        elif name == "IN":
+            out += chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])
+        else:
+            raise AssertionError(name)
+    return out
+
+
+def brute_labels(text):
+    """labels, score and n_matches from all rules at all words, however long."""
+    w = re.findall(license_scan.WORD, text.lower())
+    found = []
+    for i in range(len(w)):
+        for label, p, rule, base in license_scan.rules():
+            m = re.match(f"(?:{rule})(?= |$)", " ".join(w[i:]))
+            if m:
+                found.append((i, -len(m[0].split()), -p, label, base))
+    kept = []
+    for k, (i, less, low, label, base) in enumerate(sorted(found)):
+        if base or not any(j - m >= i - less and q <= low for j, m, q, _, _ in sorted(found)[:k]):
+            kept.append(label)
+    return ",".join(sorted(set(kept))), max((-f[2] for f in found), default=0) / license_scan.TOP, len(kept)
+
+
+NOTICE = "under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+
+
+def test_license_rules_see_their_longest_form(spark):
+    import re._parser
+
+    texts = sorted({longest_text(re._parser.parse(rule)) for _, _, rule, _ in license_scan.rules()})
+    for _, _, rule, _ in license_scan.rules():
+        text = longest_text(re._parser.parse(rule))
+        assert re.fullmatch(rule, text) and len(text.split()) <= license_scan.longest(rule)
+    texts += [NOTICE.format(2), NOTICE.format(3), "We " + NOTICE.format(2) + " See the licence for more."]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(H.frame(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    assert [(got[i].labels, got[i].score, got[i].n_matches) for i in range(len(texts))] == [brute_labels(t) for t in texts]
+    assert "gpl-2.0-or-later" in got[len(texts) - 3].labels and "gpl-3.0-or-later" in got[len(texts) - 2].labels
+
+
 def test_license_plan_has_no_python(docs):
     plan = license_scan.scan_licenses(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan.split("InMemoryTableScan")[0])
