@@ -4,7 +4,10 @@ A line that begins with > is quoted, as many levels deep as it has >; a run of l
 a passage. Passages are normalised (lower case, white space to single spaces), hashed,
 and joined with what the conversation's earlier messages say for themselves: each whole
 body, paragraph and line outside quotes, hashed alike. The latest such message is the
-passage's origin. A message answers the origin of its first linked passage of level 1, or
+passage's origin. A passage without one is taken apart into its lines and into its paragraphs:
+of the earlier messages that hold more than half of either in order, the one that holds the
+largest share is the origin, of equal ones the latest. Empty lines don't count; a part of a
+line is no quote of it. A message answers the origin of its first linked passage of level 1, or
 else the message before it. A message that is the first answer to its parent goes on in that
 one's thread, any other begins a thread of its own; in reply order a conversation's threads
 stand by their first message, each with its messages by turn.
@@ -31,6 +34,7 @@ from driftloom.llm.arrowkit import cut_lineage, n_partitions
 #: Private-use characters stand for levels in the regular expressions below.
 LEVELS = 0xE000
 MARKS = r"^((?:[ \t]*>)+)[ \t]?"
+PARAGRAPHS, LINES = r"\n[ \t]*\n", r"\n"
 
 
 def normalised(text: str) -> Column:
@@ -53,21 +57,54 @@ def parsed(messages: DataFrame) -> DataFrame:
     return capped.withColumn("body", F.trim(body)).withColumn("_coded", coded).withColumn("_runs", runs).withColumn("passages", passages).drop("_lines", "_coded", "_runs")
 
 
+def units(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """keys, kind (0 paragraphs, 1 lines), i (from 0), hash of each paragraph and line of a text that says something."""
+    parts = [f"transform(split({text}, '{cut}'), x -> named_struct('kind', {kind}, 'said', x))".replace("\\", "\\\\") for kind, cut in enumerate((PARAGRAPHS, LINES))]
+    at = rows.select(*keys, F.posexplode(F.expr(f"concat({', '.join(parts)})")).alias("i", "u"))
+    return at.select(*keys, "u.kind", "i", normalised("u.said").alias("said")).where("said <> ''").select(*keys, "kind", "i", F.sha2("said", 256).alias("hash"))
+
+
+def partly_linked(passages: DataFrame, messages: DataFrame) -> DataFrame:
+    """conv_id, turn, pos, own, part: the earlier message that holds the largest share, and more than half, of a passage's lines or paragraphs in order."""
+    passage = ["conv_id", "turn", "pos", "own"]
+    key = [*passage, "kind"]
+    quoted = cut_lineage(units(passages, "quoted", passage).withColumn("n", F.count("*").over(Window.partitionBy(*key))).where("n > 1"))
+    wanted = quoted.select("conv_id", "kind", "hash").distinct()
+    # repeated turns are told apart by their bodies
+    bodies = messages.select("conv_id", F.col("turn").alias("part"), "body", F.xxhash64("body").alias("which")).distinct()
+    held = cut_lineage(units(bodies, "body", ["conv_id", "part", "which"]).withColumnRenamed("i", "at").join(wanted, ["conv_id", "kind", "hash"], "left_semi"))
+    # a message with more than half of n units has one of any n - n div 2 of them: those that the fewest messages hold find all candidates
+    holding = held.select("conv_id", "part", "which", "kind", "hash").distinct()
+    holders = holding.groupBy("conv_id", "kind", "hash").agg(F.count("*").alias("holders"))
+    ranked = quoted.join(holders, ["conv_id", "kind", "hash"], "left").withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.coalesce("holders", F.lit(0)), "i")))
+    found = ranked.where("rank <= n - n div 2").join(holding, ["conv_id", "kind", "hash"]).where("part < turn").select(*key, "part", "which").distinct()
+    hits = found.join(quoted, key).join(held, ["conv_id", "part", "which", "kind", "hash"])
+    lists = hits.groupBy(*key, "part", "which", "n").agg(F.expr("array_sort(collect_list(named_struct('i', i, 'down', -at)))").alias("hits"))
+    # longest rising run of places: the fold keeps, for each length, the least place at which a run of it ends
+    rising = "aggregate(hits, cast(array() as array<int>), (t, h) -> concat(filter(t, y -> y < -h.down), array(-h.down), slice(filter(t, y -> y >= -h.down), 2, size(t) + 1)))"
+    most = lists.withColumn("held", F.size(F.expr(rising))).where("2 * held > n")
+    return most.groupBy(*passage).agg(F.max_by("part", F.struct(F.col("held") / F.col("n"), "part")).alias("part"))
+
+
 def linked_passages(messages: DataFrame) -> DataFrame:
     """conv_id, turn, pos, level, origin (turn, or null) of each quoted passage."""
     quotes = (
         messages.where("size(passages) > 0")
         .select("conv_id", "turn", F.explode("passages").alias("p"))
-        .select("conv_id", "turn", "p.pos", "p.level", normalised("p.text").alias("said"))
+        .select("conv_id", "turn", "p.pos", "p.level", F.col("p.text").alias("quoted"), normalised("p.text").alias("said"))
         .where("said <> ''")
-        .select("conv_id", "turn", "pos", "level", F.sha2("said", 256).alias("hash"))
+        .select("conv_id", "turn", "pos", "level", "quoted", F.sha2("quoted", 256).alias("own"), F.sha2("said", 256).alias("hash"))
     )
     wanted = quotes.select("conv_id", "hash").distinct()
     said = messages.select("conv_id", "turn", F.explode(F.expr("array_distinct(concat(array(body), split(body, '\\\\n[ \\\\t]*\\\\n'), split(body, '\\\\n')))")).alias("said"))
     origins = said.select("conv_id", "turn", F.sha2(normalised("said"), 256).alias("hash")).join(wanted, ["conv_id", "hash"], "left_semi").distinct()
     both = quotes.withColumn("origin", F.lit(None).cast("long")).unionByName(origins.select("conv_id", "turn", "hash", F.col("turn").alias("origin")), allowMissingColumns=True)
     before = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("origin", F.max("origin").over(before)).where("pos is not null").select("conv_id", "turn", "pos", "level", "origin")
+    whole = cut_lineage(both.withColumn("origin", F.max("origin").over(before)).where("pos is not null").select("conv_id", "turn", "pos", "level", "quoted", "own", "origin"))
+    left = whole.where("origin is null").select("conv_id", "turn", "pos", "own", "quoted").distinct()
+    if left.limit(1).count():
+        whole = whole.join(partly_linked(left, messages), ["conv_id", "turn", "pos", "own"], "left").withColumn("origin", F.coalesce("origin", "part"))
+    return whole.select("conv_id", "turn", "pos", "level", "origin")
 
 
 def carried(rows: DataFrame, order: list[str]) -> DataFrame:

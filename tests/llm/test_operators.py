@@ -355,6 +355,31 @@ def test_quotes(spark):
     )
 
 
+PARTIAL = [
+    (0, "One a\nTwo b\nThree c\n\nsecond para\ngoes on\n\nthird para", None),
+    (1, "Two b\nFour d\nFive e", 0),
+    (2, "> One a\n> Two b\ntwo lines of three", 0),
+    (3, "> two   B\n>\n> three C\nmost, with a gap", 0),
+    (4, "> One a\n> Two b\n> Three c\n>\n> second para goes\n> on\nwrapped anew", 0),
+    (5, "> Three c\n> Two b\n> One a\nnot in order", 4),
+    (6, "> Two b\n> nowhere\nonly half", 5),
+    (7, "> Two b\n> snip\n> Five e\nmost of turn 1", 1),
+    (8, "> One a\n> snip\n> Three c\n> and that\n> Two b\nfewer than half in order", 7),
+    (9, "Four d\nFive e\nx", 8),
+    (10, "> Four d\n> Five e\nthe latest", 9),
+    (11, "> Two b\n> Four d\n> Five e\n> y\nmost is better than later", 1),
+]
+
+
+def test_quotes_of_a_part(spark):
+    rows = [(c, t, "user", text) for c in (1, 2) for t, text, _ in PARTIAL] + [(3, 0, "user", "p\nq"), (3, 0, "user", "r\ns"), (3, 1, "user", "> p\n> s"), (3, 2, "user", "z\n> q\n> r"), (4, 1, "user", "> One a\n> Two b")]
+    got = quote_link.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for conv in (1, 2):
+        assert [(r.turn, r.parent_turn) for r in sorted(got, key=lambda r: r.turn) if r.conv_id == conv] == [(t, p) for t, _, p in PARTIAL]
+        assert [r.n_linked for r in sorted(got, key=lambda r: r.turn) if r.conv_id == conv] == [0, 0, 1, 1, 1, 0, 0, 1, 0, 0, 1, 1]
+    assert all(r.n_linked == 0 for r in got if r.conv_id in (3, 4))
+
+
 def test_quotes_long_conversation(spark):
     rows = [(9, t, "user", f"message {t}" if t % 10 else f"> message {t - 7}\nanswer") for t in range(1, 400)] + [(9, 0, "user", "first")]
     got = {r.turn: r for r in quote_link.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
