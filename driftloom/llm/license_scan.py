@@ -144,8 +144,10 @@ def keywords(rule: str) -> list[str]:
     first = rule.split(" ")[0]
     if first == "gplv?[123]":
         return [f"gpl{v}{n}" for v in ("", "v") for n in "123"]
-    if first.startswith("gpl(?:") or first.startswith("lgpl(?:") or first.startswith("agpl(?:") or first.startswith("mpl(?:"):
-        return [first[: first.index("(")]]
+    name = first.split("(")[0]
+    if rule.startswith(name + _V):
+        # the version may be joined to the name
+        return [name, name + rule[len(name + _V)]]
     if first.startswith("cc0"):
         return ["cc0"]
     if first.startswith("unauthori"):

@@ -197,6 +197,13 @@ def test_license_rules_see_their_longest_form(spark):
     assert "gpl-2.0-or-later" in got[len(texts) - 3].labels and "gpl-3.0-or-later" in got[len(texts) - 2].labels
 
 
+def test_license_versions_joined_to_the_name(spark):
+    texts = ["GPL2", "GPL3", "LGPL2.1", "LGPL3", "AGPL3", "MPL2", "GPL2.0", "gplv2", "the MPL2.0 or LGPL3.0", "GPL 2", "LGPL version 3"]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(H.frame(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    assert [(got[i].labels, got[i].score, got[i].n_matches) for i in range(len(texts))] == [brute_labels(t) for t in texts]
+    assert [got[i].labels for i in range(1, 6)] == ["gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0", "mpl-2.0"]
+
+
 def test_license_plan_has_no_python(docs):
     plan = license_scan.scan_licenses(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan.split("InMemoryTableScan")[0])
