@@ -457,7 +457,7 @@ def session_outcome_lookup(spark, d):
 
 @query
 def rouge_l(spark, d):
-    p = parsed_predictions(spark, d).where("ok and rationale_gt is not null and event_id % 7 <> 6")
+    p = parsed_predictions(spark, d).where("ok and pred_rationale <> '' and rationale_gt <> ''")
     return p.select("action_id", parsing.rouge_l(F.col("pred_rationale"), F.concat_ws(" ", F.lit("because"), "rationale_gt")).alias("rouge_l"))
 
 

@@ -166,6 +166,15 @@ def test_query_is_its_sql(spark, name):
     assert rows == sorted([str(shown(r[i])) for i in order] for r in result.fetchall())
 
 
+def test_rouge_l_follows_the_rationales_not_the_ids(spark, monkeypatch):
+    from driftloom.plans import queries
+
+    rows = [(6, "six", True, "a b", "a b"), (7, "seven", True, "", "a b"), (8, "eight", True, "a b", ""), (9, "nine", True, "a b", None), (10, "ten", False, None, "a b"), (13, "more", True, "x", "y")]
+    p = spark.createDataFrame(rows, "event_id long, action_id string, ok boolean, pred_rationale string, rationale_gt string")
+    monkeypatch.setattr(queries, "parsed_predictions", lambda spark, d: p)
+    assert {r.action_id for r in queries.rouge_l(spark, None).collect()} == {"six", "more"}
+
+
 def test_entry_points():
     import __spark_entry__ as e
 
