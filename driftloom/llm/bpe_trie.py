@@ -1,12 +1,12 @@
 """BPE encoding and decoding by prefix-sharing trie traversal.
 
-Texts are cut into chunks at single spaces between two non-space characters, where no
-word of the tokenizer's pattern can span, and each distinct chunk is cut into words by
-the pattern. The new distinct words of a batch go into a trie; a depth-first walk gives
-each node (a prefix of some word) the last token of that prefix's encoding. A token t is
-that last token if it ends the prefix and may follow the last token of what stands before
-it; by uniqueness of BPE encodings there is one such t. Prefixes that words share are
-so encoded once, and a word's ids come from following last tokens back from its node.
+Texts are cut into words by the tokenizer's pattern. The new distinct words of a batch go
+into a trie; a depth-first walk gives each node (a prefix of some word) the last token of
+that prefix's encoding. A token t is that last token if it ends the prefix and may follow the
+last token of what stands before it; by uniqueness of BPE encodings there is one such t. The
+tokens that end a prefix are found by an automaton over all tokens, longest first, whose
+state is carried along the walk. Prefixes that words share are so encoded once, and a word's
+ids come from following last tokens back from its node.
 
 Result for each document: doc_id, n_tokens, ids_sha256, decoded_sha256. Null text counts
 as empty (0 tokens, digests of the empty string); repeated rows give repeated rows; null
@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -30,11 +31,12 @@ from driftloom.llm.arrowkit import no_gc, slices
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Fixed value: the pattern that byte-level BPE vocabularies of this kind split text by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Where these occur, a single space may stand beside white space.
-ODD_SPACE = ("  ", "\n ", " \n", "\t", "\r", "\x0b", "\x0c")
-FAR_SPACE = tuple(chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-#: Chunks that a worker remembers.
-MOST_CHUNKS = 500_000
+#: Letters, numbers and white space among Latin-1 characters.
+LETTERS, NUMBERS, SPACE = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t-\r\x85\xa0"
+#: The same pattern for texts of Latin-1 characters only, which are matched much faster.
+LATIN_PATTERN = rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: Words that a worker remembers.
+MOST_WORDS = 600_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -74,17 +76,42 @@ class TrieBpe:
                 self.right.append(y)
             self.pair.setdefault((x, y), t)
         self.size_of = [len(b) for b in self.bytes_of]
-        self.longest = max(self.size_of)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.decode_of = {i: self.bytes_of[r] for r, i in enumerate(self.id_of) if i >= 0} | {i: s.encode() for s, i in self.special.items()}
         self.words_of = regex.compile(PATTERN).findall
-        # ids and decoded bytes of chunks that begin a text, and of those after a space
-        self.head: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.rest: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.latin_words_of = re.compile(LATIN_PATTERN).findall
+        # ids (little-endian 32 bits each) and decoded bytes of words
+        self.ids_of_word: dict[str, bytes] = {}
+        self.out_of_word: dict[str, bytes] = {}
         self.follows: dict[int, bool] = {}
-        self.words: dict[str, tuple[bytes, bytes]] = {}
         self.whole: dict[int, bool] = {}
+        # the automaton: states are beginnings of tokens, the empty one first
+        self.begins: list[bytes] = [b""]
+        self.state: dict[bytes, int] = {b"": 0}
+        for token in self.bytes_of:
+            for i in range(len(token), 0, -1):
+                if token[:i] in self.state:
+                    break
+                self.state[token[:i]] = len(self.begins)
+                self.begins.append(token[:i])
+        self.moves: dict[int, int] = {}
+        self.longest: dict[int, int] = {}
+        self.shorter: dict[int, int] = {}
+
+    def suffix_token(self, text: bytes) -> int:
+        """The longest token that ends a text, which has a byte at least."""
+        return next(t for i in range(len(text)) if (t := self.rank.get(text[i:])) is not None)
+
+    def move(self, at: int, byte: int) -> int:
+        """State after one more byte: the longest beginning of a token that ends what was read."""
+        text = self.begins[at] + bytes([byte])
+        to = self.moves[at << 8 | byte] = next(self.state[text[i:]] for i in range(len(text)) if text[i:] in self.state)
+        if to not in self.longest:
+            t = self.longest[to] = self.suffix_token(self.begins[to])
+            while t not in self.shorter and self.size_of[t] > 1:
+                t = self.shorter.setdefault(t, self.suffix_token(self.bytes_of[t][1:]))
+        return to
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether encoding the bytes of a and b gives just these two tokens.
@@ -142,8 +169,9 @@ class TrieBpe:
         back to the node where their paths part.
         """
         out: dict[bytes, list[int]] = {}
-        rank, follows, longest, size_of = self.rank.get, self.follows.get, self.longest, self.size_of
+        follows, moves, longest, shorter, size_of = self.follows.get, self.moves.get, self.longest, self.shorter, self.size_of
         last: list[int] = []
+        states = [0]
         before = b""
         for word in sorted(words):
             n, k = len(word), 0
@@ -153,21 +181,25 @@ class TrieBpe:
             else:
                 while before[k] == word[k]:
                     k += 1
-            del last[k:]
-            for i in range(k + 1, n + 1):
-                for j in range(i - longest if i > longest else 0, i):
-                    t = rank(word[j:i])
-                    if t is None:
-                        continue
-                    if not j:
+            del last[k:], states[k + 1 :]
+            at = states[-1]
+            for i in range(k, n):
+                to = moves(at << 8 | word[i])
+                at = self.move(at, word[i]) if to is None else to
+                states.append(at)
+                t = longest[at]
+                while True:
+                    j = i - size_of[t]
+                    if j < 0:
                         good = self.stands_alone(t)
                     else:
-                        good = follows(last[j - 1] << 32 | t)
+                        good = follows(last[j] << 32 | t)
                         if good is None:
-                            good = self.may_follow(last[j - 1], t)
+                            good = self.may_follow(last[j], t)
                     if good:
-                        last.append(t)
                         break
+                    t = shorter[t]
+                last.append(t)
             tokens = []
             while n:
                 t = last[n - 1]
@@ -178,25 +210,26 @@ class TrieBpe:
             before = word
         return out
 
-    def learn(self, heads: set[str], rests: set[str]) -> None:
-        """Adds chunks to the caches: ids as little-endian 32-bit integers, and their decoded bytes."""
-        chunks = [(c, c, self.head) for c in heads] + [(c, " " + c, self.rest) for c in rests]
-        words = [self.words_of(whole) for _, whole, _ in chunks]
-        if len(self.words) > MOST_CHUNKS:
-            self.words.clear()
-        new = {w.encode() for w in {w for ws in words for w in ws} - self.words.keys()}
-        for w, tokens in self.encode_words(new).items():
-            ids = [self.id_of[t] for t in tokens]
-            self.words[w.decode()] = array("I", ids).tobytes(), b"".join(map(self.decode_of.__getitem__, ids))
-        for (c, _, (ids_of, out_of)), ws in zip(chunks, words):
-            if len(ws) == 1:
-                ids_of[c], out_of[c] = self.words[ws[0]]
-            else:
-                both = [self.words[w] for w in ws]
-                ids_of[c], out_of[c] = b"".join(x for x, _ in both), b"".join(x for _, x in both)
+    def learn(self, words: set[str]) -> None:
+        """Remembers words: ids as little-endian 32-bit integers, and their decoded bytes."""
+        id_of, decoded = self.id_of, self.decode_of
+        for raw, tokens in self.encode_words({w.encode() for w in words}).items():
+            ids = [id_of[t] for t in tokens]
+            word = raw.decode()
+            self.ids_of_word[word] = array("I", ids).tobytes()
+            self.out_of_word[word] = b"".join([decoded[i] for i in ids])
+
+    def cut(self, text: str) -> list[str]:
+        """Words by the pattern."""
+        try:
+            if not text.isascii():
+                text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.words_of(text)
+        return self.latin_words_of(text)
 
     def pieces(self, text: str) -> list[tuple[list[str], int | None]]:
-        """Chunks of each stretch between special tokens, and the special token after it."""
+        """Words of each stretch between special tokens, and the special token after it."""
         out, begin = [], 0
         for m in self.at_special.finditer(text) if self.at_special and any(s in text for s in self.special) else ():
             out.append((self.cut(text[begin : m.start()]), self.special[m[0]]))
@@ -204,45 +237,25 @@ class TrieBpe:
         out.append((self.cut(text[begin:] if begin else text), None))
         return out
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        """Chunks; a single space stood before each but the first."""
-        if not text:
-            return []
-        parts = text.split(" ")
-        if text[0] == " " or text[-1] == " " or any(x in text for x in ODD_SPACE) or not text.isascii() and any(x in text for x in FAR_SPACE):
-            whole = [parts[0]]
-            for x in parts[1:]:
-                if x and not x[0].isspace() and whole[-1] and not whole[-1][-1].isspace():
-                    whole.append(x)
-                else:
-                    whole[-1] += " " + x
-            parts = whole
-        return parts
-
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Ids and decoded bytes of each text."""
         cut = [self.pieces(t) for t in texts]
-        stretches = [cs for text in cut for cs, _ in text if cs]
-        heads, rests = {cs[0] for cs in stretches}, set()
-        for cs in stretches:
-            rests.update(cs[1:])
-        new = heads - self.head[0].keys(), rests - self.rest[0].keys()
-        if len(self.head[0]) + len(self.rest[0]) + sum(map(len, new)) > MOST_CHUNKS:
-            for x in (*self.head, *self.rest):
-                x.clear()
-            new = heads, rests
-        if any(new):
-            self.learn(*new)
-        head_ids, head_out = (x.__getitem__ for x in self.head)
-        rest_ids, rest_out = (x.__getitem__ for x in self.rest)
+        words: set[str] = set()
+        for text in cut:
+            for ws, _ in text:
+                words.update(ws)
+        new = words - self.ids_of_word.keys()
+        if len(self.ids_of_word) + len(new) > MOST_WORDS:
+            self.ids_of_word.clear()
+            self.out_of_word.clear()
+            new = words
+        self.learn(new)
+        ids_of, out_of = self.ids_of_word.__getitem__, self.out_of_word.__getitem__
         for text in cut:
             ids, out = [], []
-            for cs, special in text:
-                if cs:
-                    tail = cs[1:]
-                    ids += [head_ids(cs[0]), *map(rest_ids, tail)]
-                    out += [head_out(cs[0]), *map(rest_out, tail)]
+            for ws, special in text:
+                ids += map(ids_of, ws)
+                out += map(out_of, ws)
                 if special is not None:
                     ids.append(special.to_bytes(4, "little"))
                     out.append(self.decode_of[special])
