@@ -5,22 +5,23 @@ over hashed byte trigrams (A-Z lower-cased, all bytes but letters and those abov
 spaces) tells languages with a 1 from those with a 0; its margin on a text is the mean
 log-ratio of the text's trigrams times MARGIN. Decoding adds, over bits, the logistic loss of
 the margin against each codeword's bit, and takes the language with the least loss. score
-is 1 - least / second least; below AMBIGUOUS the prediction is flagged. Up to five languages
-get the exhaustive code (every split of them once), more a seeded random one.
+is 1 - least / second least; below AMBIGUOUS the prediction is flagged. The code has
+10 log2(k) distinct splits of the k languages in two, or all there are.
 
 Counts are taken over all training documents: those with text and lang whose crc32(doc_id
 as text) mod 4 is not 2. Only a vector of fixed size for each language reaches the driver.
 
 Result for each document: doc_id, held_out, lang_pred, score, ambiguous. lang_pred is und
-with score 0 where text is null or has no letter, or nothing could be learned. With one
+with score 0 where text is null or has no letter (Unicode category L), or nothing could be learned. With one
 language learned it is that, with score 1. Ties go to the first language by name; repeated
-rows are predicted alike; null doc_id is not held out and not learned from; other columns are
-ignored (filter_documents keeps them).
+rows are predicted alike; null doc_id is not held out and not learned from; a very long text is a
+slice of its own, and memory follows it; other columns are ignored (filter_documents keeps them).
 """
 
 from __future__ import annotations
 
-import re
+import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,27 +35,24 @@ from driftloom.llm.arrowkit import COUNTS, byte_grams, count_rows, releasing, sl
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
 GRAM, BITS = 3, 14
 MARGIN, AMBIGUOUS = 4.0, 0.05
-EXHAUSTIVE = 5
 #: Letters and bytes of other scripts; all else is a space.
 FOLD = np.full(256, 32, np.uint8)
 FOLD[128:] = np.arange(128, 256)
 FOLD[97:123] = FOLD[65:91] = np.arange(97, 123)
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def codewords(k: int) -> np.ndarray:
-    """k rows of +1 and -1."""
-    if k <= EXHAUSTIVE:
-        splits = range(1, 1 << (k - 1))
-        return np.array([[1 if i and s >> (i - 1) & 1 else -1 for s in splits] for i in range(k)], dtype=np.float64).reshape(k, -1)
-    rng = np.random.default_rng(k)
-    best, width = None, int(np.ceil(10 * np.log2(k)))
-    for _ in range(200):
-        code = rng.choice([-1.0, 1.0], (k, width))
-        near = (code @ code.T - 2 * width * np.eye(k)).max()
-        if (np.abs(code.sum(0)) < k).all() and (best is None or near < best[0]):
-            best = near, code
-    return best[1]
+    """k rows of +1 and -1, all different: columns are distinct splits of the languages in two, drawn in a seeded order."""
+    width = min((1 << (k - 1)) - 1, math.ceil(10 * math.log2(k)))
+    rng = random.Random(k)
+    while True:
+        splits: dict[int, None] = {}
+        while len(splits) < width:
+            splits.setdefault(rng.getrandbits(k - 1) << 1)
+            splits.pop(0, None)
+        code = np.array([[1 if s >> i & 1 else -1 for s in splits] for i in range(k)], dtype=np.float64)
+        if len(np.unique(code, axis=0)) == k:
+            return code
 
 
 def grams_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +86,7 @@ class Model:
         und = span_sums(letters.astype(np.int64), at[:-1], at[1:]) == 0
         for i in np.flatnonzero(und):
             texts = column[int(i)].as_py()
-            und[i] = not texts or not LETTER.search(texts)
+            und[i] = not any(map(str.isalpha, texts or ""))
         if not k:
             return ["und"] * n, np.zeros(n), np.ones(n, bool)
         if k == 1:
