@@ -1,9 +1,11 @@
 """Small documents with every odd case, and brute-force versions of the operators."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 EXTRA = "sid long, gram string, bucket string, score string, n_words string, tag string, component_id string, `rows` string, flush string, n_chars long"
@@ -109,5 +111,31 @@ def quality(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit), len(w) < 10 or 100 * len(hit) > 20 * len(w)
 
 
+def ratios(rows, trusted, least, bits=14):
+    """Mean log-ratio of each (doc_id, text, lang), a trusted row's own 4-grams taken out of the target."""
+
+    def grams(text):
+        b = (text or "").encode()
+        return [(int.from_bytes(b[i : i + 4], "little") * 0x9E3779B1 % 2**32) >> (32 - bits) for i in range(len(b) - 3)]
+
+    raw, target = {}, {}
+    for d, t, lang in rows:
+        raw.setdefault(lang or "", Counter()).update(grams(t))
+        if d in trusted:
+            target.setdefault(lang or "", Counter()).update(grams(t))
+    out = []
+    for d, t, lang in rows:
+        g, llr = grams(t), 0.0
+        r, mine = raw[lang or ""], Counter(target.get(lang or "", {}))
+        if mine.total() >= least and g:
+            if d in trusted:
+                mine.subtract(g)
+            n, m = mine.total(), r.total()
+            if n >= least:
+                llr = sum(math.log((mine[x] + 1) / (n + 2**bits)) - math.log((r[x] + 1) / (m + 2**bits)) for x in g) / len(g)
+        out.append(llr)
+    return out
+
+
 def key(rows):
     return sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))

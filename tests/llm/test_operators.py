@@ -312,11 +312,38 @@ def test_quality_rejects_what_is_unlike_the_target(spark):
     bad = [(100 + i, " ".join("".join(rng.choice("#$%QZXJ0987") for _ in range(6)) for _ in range(60)), "en") for i in range(8)]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
     docs = H.frame(spark, good + bad)
-    kept = {r.doc_id for r in quality_llr.quality_rules(docs, labels).where("kept").collect()}
-    assert kept == {r.doc_id for r in quality_llr.filter_documents(docs, labels).collect()}
+    kept = {r.doc_id for r in quality_llr.quality_rules(docs, labels, 1).where("kept").collect()}
+    assert kept == {r.doc_id for r in quality_llr.filter_documents(docs, labels, 1).collect()}
     assert not kept & {d for d, _, _ in bad} and len(kept & {d for d, _, _ in good}) >= 35
 
 
+@pytest.mark.parametrize("least", [1, 30_000])
+def test_quality_ratio_is_brute_force(docs, labels, least):
+    """en and null are languages with trusted rows, de has none; with 30,000 4-grams asked for, one target is too thin."""
+    cases = H.cases()
+    want = {}
+    for (d, t, lang), llr in zip(cases, H.ratios(cases, {0, 1, 2}, least)):
+        want.setdefault((d, t, lang), []).append((llr, not H.quality(t)[5] and llr >= quality_llr.LEAST))
+    got = quality_llr.quality_rules(docs, labels, least).collect()
+    assert len(got) == len(cases)
+    by_id = {}
+    for (d, _, _), rows in want.items():
+        by_id.setdefault(d, []).extend(rows)
+    for r in got:
+        assert any(abs(r.llr - llr) < 2e-6 and r.kept == kept for llr, kept in by_id[r.doc_id])
+    assert (least == 1) == any(r.llr for r in got)
+
+
+def test_quality_leaves_a_language_without_trusted_rows_alone(spark):
+    rng = random.Random(8)
+    rows = [(i, speech(rng, ["en", "de"][i % 2], 150), ["en", "de"][i % 2]) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)] + [(1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality_llr.quality_rules(H.frame(spark, rows), labels, 5_000).collect()
+    assert all(r.kept != r.base_failed for r in got)
+    assert all((r.llr != 0) == (r.doc_id % 2 == 0) for r in got)
+    assert quality_llr.quality_rules(H.frame(spark, rows).drop("lang"), labels, 5_000).count() == 60
+
+
 def test_quality_without_labels_or_rows(docs, empty, labels):
     got = quality_llr.quality_rules(docs, labels.where("false"))
     assert all(r.llr == 0 and r.kept == (not r.base_failed) for r in got.collect())
@@ -487,6 +514,20 @@ def test_language_codes():
         assert len({tuple(r) for r in code}) == k and set(np.unique(code)) == {-1.0, 1.0}
 
 
+def test_language_numerals_are_no_letters_and_ties_and_long_texts(spark):
+    rng = random.Random(4)
+    rows = [(i, speech(rng, ["en", "de"][i % 2], 80), ["en", "de"][i % 2]) for i in range(60)]
+    rows += [(60, "½ ² ① Ⅷ 12 _", "en"), (61, "ª", None), (62, "字", None), (63, speech(rng, "de", 60_000), None), (64, rows[1][1], None), (64, rows[1][1], None)]
+    got = {}
+    for r in ecoc_langid.predict_languages(H.frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.lang_pred, r.score))
+    assert got[60] == [("und", 0.0)] and got[61][0][0] != "und" and got[62][0][0] != "und"
+    assert got[63][0][0] == "de" and got[64][0] == got[64][1] == got[1][0]
+    # a text without a trigram ties between all languages: the first by name
+    same = [(i, "x", ["b", "a"][i % 2]) for i in range(40)]
+    assert {(r.lang_pred, r.score) for r in ecoc_langid.predict_languages(H.frame(spark, same)).collect()} == {("a", 0.0)}
+
+
 def test_language_nothing_learned(docs, empty):
     from pyspark.sql import functions as F
 
@@ -528,6 +569,18 @@ def test_urls(spark):
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
 
 
+def test_urls_lower_case_ascii_only_long_and_repeated(spark):
+    rows = [(1, "http://ÉXAMPLE.net/É", ""), (1, "http://ÉXAMPLE.net/É", ""), (2, "http://\u212a.İ.NET/?q", ""), (3, "http://" + "A." * 3000 + "org/fr/" + "b/" * 20000 + "#x", ""), (4, None, ""), (5, "no scheme", "")]
+    got = {}
+    for r in url_boost.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        got.setdefault(r.page_id, []).append(r)
+    assert len(got[1]) == 2 and got[1][0] == got[1][1]
+    assert (got[1][0].host, got[1][0].path, got[1][0].rule, got[1][0].verdict) == ("Éxample.net", "/É", "net/", "block")
+    assert (got[2][0].host, got[2][0].rule) == ("\u212a.İ.net", "net/")
+    assert got[3][0].host == "a." * 3000 + "org" and len(got[3][0].path) == 40004 and got[3][0].rule == "org/fr/"
+    assert got[4][0].host == got[5][0].host == got[4][0].path == got[5][0].path == ""
+
+
 def test_urls_with_labels_and_empty(spark):
     pages = spark.createDataFrame([(i, f"http://h.com/{'a' * (i % 2 * 40)}{i}", "") for i in range(60)], "page_id long, url string, html string")
     labelled = spark.createDataFrame([(f"http://q.com/{'b' * (i % 2 * 40)}{i}", i % 2) for i in range(60)], "url string, y int")
