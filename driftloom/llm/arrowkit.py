@@ -25,9 +25,7 @@ U = np.uint64
 _rng = np.random.default_rng(20240229)
 #: Random 64-bit value of each byte, for polynomial hashes.
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-BASE = U(0x9E3779B97F4A7C15)
-_base = int(BASE)
-_INV_BASE = pow(_base, -1, 2**64)
+GOLDEN = U(0x9E3779B97F4A7C15)
 
 #: ASCII white space [\x20\x09-\x0D].
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -53,16 +51,6 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_cache: dict[str, np.ndarray] = {}
-
-
-def _powers(kind: str, base: int, n: int) -> np.ndarray:
-    have = _cache.get(kind)
-    if have is None or len(have) < n:
-        have = _cache[kind] = powers(base, max(n, 1 << 20))
-    return have[:n]
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all strings one after another, and n + 1 offsets into them. Null counts as empty."""
     if not pa.types.is_large_string(column.type):
@@ -149,11 +137,17 @@ class Words:
         stop[:-1] &= ~word[1:] | cut[1:]
         self.begin = np.flatnonzero(start)
         self.end = np.flatnonzero(stop) + 1
-        sums = np.empty(n + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum(BYTE_CODE[data] * _powers("up", _base, n), out=sums[1:])
-        raw = (sums[self.end] - sums[self.begin]) * _powers("down", _INV_BASE, n)[self.begin]
-        self.hash = mix(raw + (self.end - self.begin).astype(np.uint64))
+        # a word's hash is the sum of a random value for each pair of a byte and its place in the word
+        if len(self.begin):
+            code = (np.arange(n) - self.begin[np.cumsum(start) - 1]).astype(np.uint64)
+            code <<= U(8)
+            code |= data
+            code *= GOLDEN
+            sums = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(mix(code), out=sums[1:])
+            self.hash = mix(sums[self.end] - sums[self.begin] + (self.end - self.begin).astype(np.uint64))
+        else:
+            self.hash = np.zeros(0, np.uint64)
         self.first = np.searchsorted(self.begin, at)
         self.doc = np.repeat(np.arange(len(at) - 1), np.diff(self.first))
 
@@ -202,6 +196,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes what cut_lineage wrote for df. Nothing may read it any more."""
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: A key is hot if more than one in HOT_SHARE rows, and more than HOT_ROWS, hold it; so at most HOT_SHARE keys are.
+HOT_SHARE, HOT_ROWS = 1000, 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """Joins left, of total rows, with right, which has one row of bounded size for each key. Hot keys of left don't meet in one task: their rows of right, HOT_SHARE at most, are broadcast."""
+    hot = []
+    if total > HOT_ROWS:
+        most = max(HOT_ROWS, total // HOT_SHARE)
+        hot = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key).collect()
+    if not hot:
+        return left.join(right, key, how)
+    keys = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(key).schema))
+    few = F.broadcast(right.join(keys, key, "left_semi"))
+    return left.join(keys, key, "left_anti").join(right, key, how).unionByName(left.join(keys, key, "left_semi").join(few, key, how))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
