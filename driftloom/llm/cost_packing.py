@@ -2,16 +2,18 @@
 
 A piece of n tokens costs n + n^2 / capacity (the linear layers and the attention within
 the piece). Each run of about RUN_TOKENS tokens is packed on its own, in the map task that
-tokenised it, so nothing is shuffled: documents go, in descending length, to the sequence
-of lowest cost that still has room for all of it; where none has, the one with most room
-takes what fits and the rest goes on as a further piece. A run opens as many full
-sequences as its tokens fill, and for what is left over sequences whose lengths are powers
-of two, which need no padding; so none is padded.
+tokenised it, so nothing is shuffled. A run opens as many sequences as its tokens fill. Documents go,
+in descending length, to the sequence of lowest cost that still has room for all of it; one longer
+than a sequence is cut to fill sequences first. Room of GAP tokens or more that is left is filled, lowest cost
+first, by cutting documents for which no sequence had room; smaller room stays and is padded. What is
+left of the documents goes to the next run, and at a task's end to further sequences, so only a
+task's last one may be far from full.
 
 Result for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
-and sequence_tokens. A document's ids are those of the library followed by end_id; null and
+and sequence_tokens (before padding). A document's ids are those of the library followed by end_id; null and
 empty texts have end_id alone. Repeated rows are packed as documents of their own; null
-doc_id stays null; other columns are ignored; an empty table gives no rows.
+doc_id stays null; a very long text is tokenised whole, and memory follows it; other columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,15 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from driftloom.llm.arrowkit import no_gc, releasing, slices, small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
+NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
 CAPACITY, END_ID = 4096, 2
 #: Tokens that are packed together: about five hundred sequences.
 RUN_TOKENS = 1 << 21
+#: A sequence is padded by fewer tokens than this, but for a task's last.
+GAP = 24
 MOST_WORDS = 400_000
 #: Words that go to the library as one text.
 JOINED = 256
@@ -104,27 +110,42 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def pack_run(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
-    """Pieces (document, start, length, sequence, offset) of one run, and each sequence's length."""
-    total = int(lengths.sum())
-    room = np.array([capacity] * (total // capacity) + [1 << b for b in reversed(range(capacity.bit_length())) if (total % capacity) >> b & 1], dtype=np.int64)
-    size = room.tolist()
+def pack_run(lengths: np.ndarray, capacity: int = CAPACITY, gap: int = GAP) -> tuple[list[tuple[int, int, int, int, int]], list[int], np.ndarray]:
+    """Pieces (document, start, length, sequence, offset) of one run, tokens in each sequence, and how many tokens of each document are placed."""
+    room = np.full(max(1, int(lengths.sum()) // capacity), capacity, dtype=np.int64)
     cost = np.zeros(len(room))
+    done = np.zeros(len(lengths), np.int64)
     pieces = []
+
+    def put(doc: int, k: int, n: int) -> None:
+        pieces.append((int(doc), int(done[doc]), n, k, capacity - int(room[k])))
+        room[k] -= n
+        cost[k] += n + n * n / capacity
+        done[doc] += n
+
+    opened = 0
     for doc in np.argsort(-lengths, kind="stable"):
-        start, left = 0, int(lengths[doc])
-        while left:
-            fits = room >= left
-            if left < capacity and fits.any():
-                k = int(np.argmin(np.where(fits, cost, np.inf)))
-            else:
-                k = int(np.argmax(room))
-            n = min(left, int(room[k]))
-            pieces.append((int(doc), start, n, k, size[k] - int(room[k])))
-            room[k] -= n
-            cost[k] += n + n * n / capacity
-            start, left = start + n, left - n
-    return pieces, size
+        while lengths[doc] - done[doc] >= capacity and opened < len(room):
+            put(doc, opened, capacity)
+            opened += 1
+    waiting = []
+    for doc in np.argsort(done - lengths, kind="stable"):
+        left = int(lengths[doc] - done[doc])
+        fits = room >= left
+        if not left:
+            continue
+        if fits.any():
+            put(doc, int(np.argmin(np.where(fits, cost, np.inf))), left)
+        else:
+            waiting.append(doc)
+    for doc in waiting:
+        while left := int(lengths[doc] - done[doc]):
+            fits = room >= min(gap, left)
+            if not fits.any():
+                break
+            k = int(np.argmin(np.where(fits, cost, np.inf)))
+            put(doc, k, min(left, int(room[k])))
+    return pieces, (capacity - room).tolist(), done
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -132,28 +153,42 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     end = end_id.to_bytes(4, "little")
     small_batches(docs.sparkSession)
 
-    def run(ids: list, codes: list[bytes], first: int) -> tuple[pa.RecordBatch, int]:
-        lengths = np.fromiter((len(c) // 4 for c in codes), np.int64, len(codes))
-        pieces, sizes = pack_run(lengths, capacity)
+    def run(held: list[tuple]) -> tuple[pa.RecordBatch, int, list[tuple]]:
+        """Pieces, their sequences numbered from 0, how many sequences, and what is left. held: doc_id, ids and tokens placed before of each document."""
+        lengths = np.fromiter((len(c) // 4 - at for _, c, at in held), np.int64, len(held))
+        pieces, sizes, done = pack_run(lengths, capacity)
         doc, start, length, k, offset = np.array(pieces, dtype=np.int64).reshape(-1, 5).T
-        crc = [zlib.crc32(memoryview(codes[d])[4 * s : 4 * (s + n)]) for d, s, n, _, _ in pieces]
-        columns = [pa.array(ids, pa.int64()).take(pa.array(doc)), start, length, np.array(crc, np.int64), lengths[doc], k + first, offset, np.array(sizes, np.int64)[k]]
-        return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[f.split()[0] for f in SCHEMA.split(", ")]), len(sizes)
+        before = np.fromiter((at for _, _, at in held), np.int64, len(held))
+        start = start + before[doc]
+        crc = [zlib.crc32(memoryview(held[d][1])[4 * s : 4 * (s + n)]) for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist())]
+        whole = np.fromiter((len(c) // 4 for _, c, _ in held), np.int64, len(held))
+        columns = [pa.array([held[d][0] for d in doc], pa.int64()), start, length, np.array(crc, np.int64), whole[doc], k, offset, np.array(sizes, np.int64)[k]]
+        left = [(i, c, at + int(d)) for (i, c, at), d, n in zip(held, done, lengths) if d < n]
+        return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=NAMES), len(sizes), left
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
         first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        ids, codes, tokens = [], [], 0
+        held: list[tuple] = []
+        tokens = 0
+
+        def packed() -> pa.RecordBatch:
+            nonlocal held, tokens, first
+            out, n, held = run(held)
+            at = NAMES.index("sequence_id")
+            out = out.set_column(at, "sequence_id", pc.add(out.column(at), first))
+            tokens = sum(len(c) // 4 - k for _, c, k in held)
+            first += n
+            return out
+
         for batch in slices(batches, "text"):
             with no_gc():
-                codes += [c + end for c in words.encode_batch([t or "" for t in batch.column(1).to_pylist()])]
-            ids += batch.column(0).to_pylist()
-            tokens = sum(map(len, codes)) // 4
+                codes = [c + end for c in words.encode_batch([t or "" for t in batch.column(1).to_pylist()])]
+            held += [(i, c, 0) for i, c in zip(batch.column(0).to_pylist(), codes)]
+            tokens += sum(map(len, codes)) // 4
             if tokens >= RUN_TOKENS:
-                out, n = run(ids, codes, first)
-                yield out
-                ids, codes, first = [], [], first + n
-        if codes:
-            yield run(ids, codes, first)[0]
+                yield packed()
+        while held:
+            yield packed()
 
     return docs.select("doc_id", "text").mapInArrow(releasing(work), SCHEMA)
