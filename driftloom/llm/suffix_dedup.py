@@ -19,7 +19,8 @@ meet wherever they stand. Consecutive strings with one anchor travel as one reco
 
 Result for each row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
 Null text counts as empty. A row with null doc_id keeps all and removes nothing. Rows with the
-same doc_id don't remove each other's bytes; each has runs of its own. Other columns are ignored
+same doc_id don't remove each other's bytes; each has runs of its own, told apart by 32 bits of a
+hash of the text. Other columns are ignored
 (dedup_documents keeps them). Memory follows SLICE_BYTES, the longest document and the buckets, of
 which there are as many as four times the shuffle partitions.
 """
@@ -47,8 +48,8 @@ SHALLOW = 24
 FLUSH_BYTES, CARRY_BYTES = 6 << 20, 8 << 20
 CHUNK = 1 << 18
 _KEYS = np.random.default_rng(7).integers(1, 2**63, ROW // 8, dtype=np.uint64) * U(2) + U(1)
-META = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("at", "<u4"), ("u", "u1"), ("v", "u1"), ("again", "u1")])
-SPAN = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("begin", "<u4"), ("end", "<u4")])
+META = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("at", "<u4"), ("u", "u1"), ("v", "u1"), ("again", "u1")])
+SPAN = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("begin", "<u4"), ("end", "<u4")])
 
 
 def anchors(data: np.ndarray) -> np.ndarray:
@@ -330,7 +331,7 @@ def removed_spans(docs: DataFrame, n_buckets: int) -> DataFrame:
         for batch in slices(batches, "text"):
             data, at = text_bytes(batch.column(2))
             ids = np.array(batch.column(0).to_pylist(), np.int64)
-            tags = np.array(batch.column(1).to_pylist(), np.int64).astype(np.uint16)
+            tags = np.array(batch.column(1).to_pylist(), np.int64).astype(np.uint32)
             parts = []
             for rec, doc, place, u, v in records(data, at):
                 meta = np.zeros(len(rec), META)
@@ -365,7 +366,7 @@ def removed_spans(docs: DataFrame, n_buckets: int) -> DataFrame:
         return pa.Table.from_batches([_blobs(out)])
 
     kind = "bucket int, kind int, rec binary, meta binary"
-    texts = docs.where("doc_id is not null").select("doc_id", F.pmod(F.xxhash64("text"), F.lit(65536)).alias("tag"), "text")
+    texts = docs.where("doc_id is not null").select("doc_id", F.pmod(F.xxhash64("text"), F.lit(1 << 32)).alias("tag"), "text")
     return texts.mapInArrow(releasing(cut), kind).groupBy("bucket").applyInArrow(meet, kind).select("bucket", F.col("meta").alias("spans"))
 
 
@@ -383,13 +384,14 @@ def _applied(docs: DataFrame, schema, finish) -> DataFrame:
     small_batches(docs.sparkSession)
     n_buckets = 4 * n_partitions(docs.sparkSession)
     spans = cut_lineage(removed_spans(docs, n_buckets))
-    tagged = docs.withColumn("_tag", F.pmod(F.xxhash64("text"), F.lit(65536)))
+    tagged = docs.withColumn("_tag", F.pmod(F.xxhash64("text"), F.lit(1 << 32)))
     names = docs.columns
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in slices(batches, "text", CARRY_BYTES):
-            ids = np.array([x or 0 for x in batch.column(names.index("doc_id")).to_pylist()], np.int64)
+            # rows without doc_id meet no runs; they are spread over all buckets
+            ids = np.array([i * 0x9E3779B1 + t if x is None else x for i, (x, t) in enumerate(zip(batch.column(names.index("doc_id")).to_pylist(), batch.column(len(names)).to_pylist()))], np.int64)
             out = []
             for k, rows in parted(home(ids, n_buckets), n_buckets):
                 sink = pa.BufferOutputStream()
