@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.arrowkit import BYTE_CODE, n_partitions, slices, text_bytes
+from driftloom.llm.arrowkit import BYTE_CODE, n_partitions, slices, small_batches, text_bytes
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long"
 LEAST, MOST, CUT_BITS = 1024, 32768, 12
@@ -96,8 +96,9 @@ def chunked(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, list[bytes]]]:
         yield row, media, parts
 
 
-def bucket_of(doc_id: int | None, n: int) -> int:
-    return 0 if doc_id is None else ((doc_id * 0x9E3779B97F4A7C15) % 2**64 >> 33) % n
+def bucket_of(doc_id: int | None, media: bytes, n: int) -> int:
+    """Where a document is put together again; those without doc_id are spread by their bytes."""
+    return ((zlib.crc32(media) if doc_id is None else doc_id) * 0x9E3779B97F4A7C15 % 2**64 >> 33) % n
 
 
 def digest(chunk: bytes) -> bytes:
@@ -116,6 +117,7 @@ def media_features(docs: DataFrame) -> DataFrame:
     import zstandard
 
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     n_buckets = 4 * n_partitions(spark)
     sample = [r[0].encode() for r in docs.where("text is not null").select(F.substring("text", 1, SAMPLE_CHARS)).limit(SAMPLE_ROWS).collect()]
@@ -145,8 +147,8 @@ def media_features(docs: DataFrame) -> DataFrame:
         sent: set[bytes] = set()
         for batch in slices(batches, "text", FLUSH_BYTES):
             ids, found = batch.column(0).to_pylist(), {}
-            for row, _, parts in chunked(batch):
-                bucket = bucket_of(ids[row], n_buckets)
+            for row, media, parts in chunked(batch):
+                bucket = bucket_of(ids[row], media, n_buckets)
                 for part in parts:
                     found.setdefault(digest(part), (part, set()))[1].add(bucket)
             by: dict[int, list[bytes]] = {}
@@ -177,7 +179,7 @@ def media_features(docs: DataFrame) -> DataFrame:
             ids, rows = batch.column(0).to_pylist(), []
             _, at = text_bytes(batch.column(1))
             for row, media, parts in chunked(batch):
-                rows.append((bucket_of(ids[row], n_buckets), int(at[row + 1] - at[row]), hashlib.sha256(media).digest(), b"".join(map(digest, parts))))
+                rows.append((bucket_of(ids[row], media, n_buckets), int(at[row + 1] - at[row]), hashlib.sha256(media).digest(), b"".join(map(digest, parts))))
             bucket, n, sha, digests = zip(*rows)
             yield pa.record_batch([batch.column(0), pa.array(bucket, pa.int32()), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(digests, pa.binary())], names=["doc_id", "bucket", "n_bytes", "sha", "digests"])
 
