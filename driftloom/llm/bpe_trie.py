@@ -11,7 +11,8 @@ ids come from following last tokens back from its node.
 Result for each document: doc_id, n_tokens, ids_sha256, decoded_sha256. Null text counts
 as empty (0 tokens, digests of the empty string); repeated rows give repeated rows; null
 doc_id stays null; other columns are ignored. Special-token strings in a text become
-their ids, as the library does by default.
+their ids, as the library does by default. A very long text is a batch of its own, and memory
+follows it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from driftloom.llm.arrowkit import no_gc, slices
+from driftloom.llm.arrowkit import no_gc, releasing, slices, small_batches
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Fixed value: the pattern that byte-level BPE vocabularies of this kind split text by.
@@ -270,6 +271,8 @@ def tokenizer(path: str) -> TrieBpe:
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """One row per document; see above. path: a byte-level BPE file of the tokenizers library, there on every machine."""
 
+    small_batches(docs.sparkSession)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in slices(batches, "text", 8 << 20):
@@ -279,4 +282,4 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             n, a, b = zip(*rows, strict=True)
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(releasing(work), SCHEMA)
