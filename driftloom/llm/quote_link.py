@@ -15,7 +15,7 @@ stand by their first message, each with its messages by turn.
 Result for each message: conv_id, turn, role, n_quotes, n_linked (passages of any level with an origin),
 parent_turn (null for the first), thread (turn of its first message), reply_pos (from 0), text
 (without quotes, trimmed), formatted (role header, text and end mark). Null text is empty; null role
-is "unknown"; messages with null conv_id or turn form no replies: they keep null parent, thread and position;
+is "unknown"; levels deeper than 4095 count as 4095; a very long message is parsed whole; messages with null conv_id or turn form no replies: they keep null parent, thread and position;
 repeated rows stay, ordered by role and text, and their parent is the turn before theirs;
 other columns are ignored.
 
@@ -54,7 +54,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     )
     # deeper than 4095 levels is taken as 4095
     capped = lines.withColumn("_lines", F.expr("transform(_lines, x -> named_struct('level', least(x.level, 4095), 'line', x.line))"))
-    return capped.withColumn("body", F.trim(body)).withColumn("_coded", coded).withColumn("_runs", runs).withColumn("passages", passages).drop("_lines", "_coded", "_runs")
+    return capped.withColumn("body", F.trim(body, F.lit(" \t\r\n"))).withColumn("_coded", coded).withColumn("_runs", runs).withColumn("passages", passages).drop("_lines", "_coded", "_runs")
 
 
 def units(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
@@ -99,8 +99,14 @@ def linked_passages(messages: DataFrame) -> DataFrame:
     said = messages.select("conv_id", "turn", F.explode(F.expr("array_distinct(concat(array(body), split(body, '\\\\n[ \\\\t]*\\\\n'), split(body, '\\\\n')))")).alias("said"))
     origins = said.select("conv_id", "turn", F.sha2(normalised("said"), 256).alias("hash")).join(wanted, ["conv_id", "hash"], "left_semi").distinct()
     both = quotes.withColumn("origin", F.lit(None).cast("long")).unionByName(origins.select("conv_id", "turn", "hash", F.col("turn").alias("origin")), allowMissingColumns=True)
-    before = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    whole = cut_lineage(both.withColumn("origin", F.max("origin").over(before)).where("pos is not null").select("conv_id", "turn", "pos", "level", "quoted", "own", "origin"))
+    # one passage may be quoted by very many messages: within slices of its rows, then carried over slices
+    dealt = sliced(both, ["conv_id", "hash", "turn"])
+    before = Window.partitionBy("conv_id", "hash", "slice").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("conv_id", "hash").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = dealt.groupBy("conv_id", "hash", "slice").agg(F.max("origin").alias("_last"))
+    carry = lasts.select("conv_id", "hash", "slice", F.max("_last").over(earlier).alias("_carry"))
+    near = dealt.withColumn("origin", F.max("origin").over(before)).where("pos is not null")
+    whole = cut_lineage(near.join(carry, ["conv_id", "hash", "slice"]).select("conv_id", "turn", "pos", "level", "quoted", "own", F.coalesce("origin", "_carry").alias("origin")))
     left = whole.where("origin is null").select("conv_id", "turn", "pos", "own", "quoted").distinct()
     if left.limit(1).count():
         whole = whole.join(partly_linked(left, messages), ["conv_id", "turn", "pos", "own"], "left").withColumn("origin", F.coalesce("origin", "part"))
