@@ -107,6 +107,173 @@ WRITTEN = (
     ("public-domain", 1, r"public domain"),
     ("proprietary", 2, r"proprietary and confidential"),
     ("proprietary", 1, r"unauthori[sz]ed (?:copying|use|reproduction|distribution)"),
+    ("gpl-1.0", 4, r"gnu general public licen[sc]e" + _V + r"1(?: 0)?"),
+    ("gpl-2.0-only", 4, r"gnu general public licen[sc]e version 2 only"),
+    ("gpl-3.0-only", 4, r"gnu general public licen[sc]e version 3 only"),
+    ("gpl", 2, r"this (?:program|file|package|script) is free software you (?:can|may) redistribute it and or modify it under the terms of the gnu general public licen[sc]e"),
+    ("lgpl", 2, r"this (?:library|package|module) is free software you (?:can|may) redistribute it and or modify it under the terms of the gnu lesser general public licen[sc]e"),
+    ("gpl", 1, r"you should have received a copy of the gnu general public licen[sc]e"),
+    ("lgpl", 1, r"you should have received a copy of the gnu lesser general public licen[sc]e"),
+    ("agpl", 1, r"you should have received a copy of the gnu affero general public licen[sc]e"),
+    ("lgpl-2.0", 4, r"gnu library general public licen[sc]e" + _V + r"2(?: 0)?"),
+    ("lgpl-2.1-or-later", 4, r"gnu lesser general public licen[sc]e(?: as published by the free software foundation either)? version 2 1 (?:of the licen[sc]e )?or at your option any later version"),
+    ("lgpl-3.0-or-later", 4, r"gnu lesser general public licen[sc]e(?: as published by the free software foundation either)? version 3 (?:of the licen[sc]e )?or at your option any later version"),
+    ("agpl-3.0-or-later", 4, r"gnu affero general public licen[sc]e(?: as published by the free software foundation either)? version 3 (?:of the licen[sc]e )?or at your option any later version"),
+    ("gfdl-1.1", 4, r"gnu free documentation licen[sc]e" + _V + r"1 1"),
+    ("gfdl-1.2", 4, r"gnu free documentation licen[sc]e" + _V + r"1 2"),
+    ("gfdl", 2, r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e"),
+    ("classpath-exception", 3, r"classpath exception"),
+    ("gcc-exception", 3, r"gcc runtime library exception"),
+    ("font-exception", 3, r"font (?:embedding )?exception"),
+    ("linking-exception", 3, r"(?:static|openssl) linking exception"),
+    ("linux-syscall-note", 3, r"linux syscall (?:note|exception)"),
+    ("apache-1.0", 4, r"apache (?:software )?licen[sc]e" + _V + r"1 0"),
+    ("apache-2.0", 2, r"you may not use this file except in compliance with the licen[sc]e"),
+    ("apache-2.0", 2, r"licensed to the apache software foundation asf under one or more contributor licen[sc]e agreements"),
+    ("apache-2.0", 2, r"asf licenses this file to you under the apache licen[sc]e"),
+    ("apache-2.0", 1, r"the licen[sc]e is distributed on an as is basis"),
+    ("apache-1.1", 1, r"redistribution and use of this software developed by the apache software foundation"),
+    ("mit", 2, r"distributed under the (?:terms of the )?mit licen[sc]e"),
+    ("mit", 3, r"expat licen[sc]e"),
+    ("mit", 2, r"(?:licensed|licenced) under mit"),
+    ("mit-0", 4, r"mit no attribution(?: licen[sc]e)?"),
+    ("x11", 3, r"(?:x11|mit x11|x consortium) licen[sc]e"),
+    ("mit", 1, r"software is provided as is without warranty of any kind express or implied"),
+    ("mit", 1, r"copies of the software and to permit persons to whom the software is furnished to do so subject to"),
+    ("mit-cmu", 3, r"cmu licen[sc]e"),
+    ("hpnd", 2, r"permission to use copy modify and distribute this software and its documentation for any purpose"),
+    ("hpnd", 3, r"historical permission notice and disclaimer"),
+    ("ntp", 3, r"ntp licen[sc]e"),
+    ("bsd-0-clause", 4, r"(?:zero clause bsd|bsd zero clause)" + _LIC + r"?"),
+    ("bsd-1-clause", 4, r"bsd 1 clause" + _LIC + r"?"),
+    ("bsd-3-clause-clear", 4, r"(?:clear bsd|bsd 3 clause clear)" + _LIC + r"?"),
+    ("bsd-2-clause-patent", 4, r"bsd 2 clause (?:plus )?patent" + _LIC + r"?"),
+    ("bsd", 2, r"(?:licensed|licenced) under the (?:terms of the )?bsd licen[sc]e"),
+    ("bsd", 2, r"bsd style licen[sc]e"),
+    ("bsd", 1, r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", 2, r"neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", 2, r"all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment"),
+    ("bsd", 1, r"any express or implied warranties including but not limited to"),
+    ("isc", 1, r"provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", 2, r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", 3, r"zlib libpng licen[sc]e"),
+    ("libpng", 3, r"(?:libpng|png reference library) licen[sc]e"),
+    ("boost-1.0", 4, r"boost software licen[sc]e" + _V + r"1(?: 0)?"),
+    ("boost-1.0", 2, r"distributed under the boost software licen[sc]e"),
+    ("mpl-1.0", 4, r"mozilla public licen[sc]e" + _V + r"1 0"),
+    ("mpl-2.0", 2, r"this source code form is subject to the terms of the mozilla public licen[sc]e"),
+    ("mpl-1.1", 2, r"the contents of this file are subject to the mozilla public licen[sc]e"),
+    ("mpl-2.0-no-copyleft-exception", 4, r"incompatible with secondary licenses as defined by the mozilla public licen[sc]e"),
+    ("npl", 3, r"netscape public licen[sc]e"),
+    ("epl", 2, r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e"),
+    ("edl", 3, r"eclipse distribution licen[sc]e"),
+    ("cddl", 2, r"the contents of this file are subject to the terms of (?:either the gnu general public licen[sc]e or )?the common development and distribution licen[sc]e"),
+    ("cddl-1.1", 4, r"common development and distribution licen[sc]e" + _V + r"1 1"),
+    ("cpl", 3, r"common public licen[sc]e"),
+    ("cpl-1.0", 4, r"common public licen[sc]e" + _V + r"1(?: 0)?"),
+    ("ipl", 3, r"ibm public licen[sc]e"),
+    ("cpal", 3, r"common public attribution licen[sc]e"),
+    ("eupl-1.1", 4, r"european union public licen[sc]e" + _V + r"1 1"),
+    ("eupl-1.2", 4, r"european union public licen[sc]e" + _V + r"1 2"),
+    ("cecill", 3, r"cecill (?:free software )?licen[sc]e"),
+    ("apsl", 3, r"apple public source licen[sc]e"),
+    ("spl", 3, r"sun public licen[sc]e"),
+    ("sissl", 3, r"sun industry standards source licen[sc]e"),
+    ("ms-pl", 3, r"microsoft public licen[sc]e"),
+    ("ms-rl", 3, r"microsoft reciprocal licen[sc]e"),
+    ("ms-eula", 2, r"microsoft software licen[sc]e terms"),
+    ("nasa", 3, r"nasa open source agreement(?: version)? licen[sc]e"),
+    ("intel", 3, r"intel (?:open|simplified) (?:source|software) licen[sc]e"),
+    ("osl-3.0", 4, r"open software licen[sc]e" + _V + r"3(?: 0)?"),
+    ("osl", 3, r"open software licen[sc]e"),
+    ("afl", 3, r"academic free licen[sc]e"),
+    ("afl-3.0", 4, r"academic free licen[sc]e" + _V + r"3(?: 0)?"),
+    ("ecl-2.0", 3, r"educational community licen[sc]e"),
+    ("psf", 3, r"python software foundation licen[sc]e(?: agreement)?"),
+    ("psf", 3, r"psf licen[sc]e(?: agreement)?"),
+    ("cnri", 3, r"cnri (?:open source )?licen[sc]e"),
+    ("php", 3, r"php licen[sc]e"),
+    ("ruby", 3, r"ruby s? ?licen[sc]e"),
+    ("perl", 2, r"licensed under the same terms as perl itself"),
+    ("artistic-1.0", 4, r"artistic licen[sc]e" + _V + r"1(?: 0)?"),
+    ("clarified-artistic", 3, r"clarified artistic licen[sc]e"),
+    ("zpl", 3, r"zope public licen[sc]e"),
+    ("w3c", 3, r"w3c (?:software|document) (?:notice and )?licen[sc]e"),
+    ("unicode", 3, r"unicode (?:inc )?licen[sc]e agreement"),
+    ("openssl", 3, r"openssl licen[sc]e"),
+    ("ssleay", 3, r"ssleay licen[sc]e"),
+    ("postgresql", 3, r"postgresql licen[sc]e"),
+    ("vim", 3, r"vim licen[sc]e"),
+    ("lppl", 3, r"latex project public licen[sc]e"),
+    ("tcl", 3, r"tcl tk licen[sc]e"),
+    ("sleepycat", 3, r"sleepycat (?:public )?licen[sc]e"),
+    ("beerware", 3, r"(?:beerware|beer ware) licen[sc]e"),
+    ("json", 3, r"json licen[sc]e"),
+    ("sspl", 3, r"server side public licen[sc]e"),
+    ("busl-1.1", 3, r"business source licen[sc]e"),
+    ("elastic-2.0", 3, r"elastic licen[sc]e"),
+    ("commons-clause", 3, r"commons clause licen[sc]e condition"),
+    ("polyform", 3, r"polyform (?:noncommercial|shield|strict|perimeter|small business|internal use) licen[sc]e"),
+    ("rsal", 3, r"redis source available licen[sc]e"),
+    ("confluent", 3, r"confluent community licen[sc]e"),
+    ("mulan-psl", 3, r"mulan (?:permissive|public) (?:software )?licen[sc]e"),
+    ("qpl", 3, r"q public licen[sc]e"),
+    ("rpl", 3, r"reciprocal public licen[sc]e"),
+    ("rpsl", 3, r"realnetworks public source licen[sc]e"),
+    ("nokia", 3, r"nokia open source licen[sc]e"),
+    ("lpl", 3, r"lucent public licen[sc]e"),
+    ("vsl", 3, r"vovida software licen[sc]e"),
+    ("efl", 3, r"eiffel forum licen[sc]e"),
+    ("fair", 3, r"fair licen[sc]e"),
+    ("lal", 3, r"(?:free art licen[sc]e|licence art libre)"),
+    ("ogl", 3, r"open (?:game|government|publication|data) licen[sc]e"),
+    ("odc-by", 3, r"open data commons attribution licen[sc]e"),
+    ("pddl", 3, r"public domain dedication and licen[sc]e"),
+    ("cdla", 3, r"community data licen[sc]e agreement"),
+    ("ufl", 3, r"ubuntu font licen[sc]e"),
+    ("bitstream-vera", 3, r"bitstream vera fonts? (?:copyright|licen[sc]e)"),
+    ("gust", 3, r"gust font licen[sc]e"),
+    ("ipa", 3, r"ipa font licen[sc]e"),
+    ("openrail", 3, r"(?:openrail|open rail|bigscience|bigcode) (?:m |open ?rail m )?(?:model )?licen[sc]e"),
+    ("rail", 3, r"responsible ai licen[sc]e"),
+    ("llama", 3, r"(?:llama|gemma) (?:[0-9] )?(?:community )?licen[sc]e(?: agreement)?"),
+    ("upl-1.0", 3, r"universal permissive licen[sc]e"),
+    ("blueoak-1.0.0", 3, r"blue oak model licen[sc]e"),
+    ("ncsa", 3, r"ncsa open source licen[sc]e"),
+    ("ncsa", 3, r"university of illinois (?:ncsa )?open source licen[sc]e"),
+    ("sgi-b", 3, r"sgi free software licen[sc]e"),
+    ("imagemagick", 3, r"imagemagick licen[sc]e"),
+    ("ftl", 3, r"freetype (?:project )?licen[sc]e"),
+    ("info-zip", 3, r"info zip licen[sc]e"),
+    ("curl", 3, r"curl licen[sc]e"),
+    ("wxwindows", 3, r"wxwindows library licen[sc]e"),
+    ("xfree86", 3, r"xfree86 licen[sc]e"),
+    ("hippocratic", 3, r"hippocratic licen[sc]e"),
+    ("parity", 3, r"(?:parity|prosperity) public licen[sc]e"),
+    ("wtfpl", 2, r"wtfpl licen[sc]e"),
+    ("unlicense", 2, r"anyone is free to copy modify publish use compile sell or distribute this software public domain"),
+    ("public-domain", 2, r"creative commons public domain (?:mark|dedication)"),
+    ("cc-by", 2, r"this (?:work|article|document|image) is licensed under a creative commons attribution"),
+    ("cc-by-4.0", 4, r"creative commons attribution 4 0(?: international)?(?: licen[sc]e)?"),
+    ("cc-by-3.0", 4, r"creative commons attribution 3 0(?: unported)?(?: licen[sc]e)?"),
+    ("cc-by-sa-4.0", 4, r"creative commons attribution share ?alike 4 0(?: international)?"),
+    ("cc-by-sa-3.0", 4, r"creative commons attribution share ?alike 3 0(?: unported)?"),
+    ("cc-by-nc-4.0", 4, r"creative commons attribution non ?commercial 4 0(?: international)?"),
+    ("reserved", 1, r"(?:some|no) rights reserved"),
+    ("proprietary", 2, r"confidential and proprietary"),
+    ("proprietary", 2, r"(?:commercial|proprietary) licen[sc]e(?: agreement)?"),
+    ("proprietary", 2, r"contains (?:trade secrets|proprietary information)"),
+    ("proprietary", 1, r"may not be (?:copied|reproduced|redistributed|published) (?:in whole or in part )?without (?:the )?(?:prior )?(?:express )?(?:written )?permission"),
+    ("proprietary", 1, r"reproduced (?:only )?with (?:the )?(?:kind )?permission of"),
+    ("proprietary", 1, r"unpublished (?:proprietary )?(?:work|source code) all rights reserved"),
+    ("eula", 3, r"end user licen[sc]e agreement"),
+    ("shareware", 2, r"(?:shareware|freeware|evaluation) licen[sc]e"),
+    ("dual", 2, r"dual licen[sc]ed under"),
+    ("licence-file", 1, r"(?:licensed|licenced|released|distributed) under the (?:same )?terms (?:and conditions )?of the licen[sc]e"),
+    ("licence-file", 1, r"subject to the (?:terms|conditions) of (?:the|this) licen[sc]e"),
+    ("copyright", 1, r"(?:copyright|copyrights|copr) (?:19|20)[0-9]{2} (?:by )?the (?:authors?|contributors?|copyright holders?)"),
+    ("trademark", 1, r"registered trademark (?:of|and copyright)"),
+    ("warranty", 1, r"(?:disclaimer of|no) warrant(?:y|ies)"),
     ("copyright", 1, r"copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?"),
     ("copyright", 1, r"copyright c"),
     ("warranty", 1, r"without warrant(?:y|ies) of any kind"),
@@ -161,7 +328,7 @@ def longest(rule: str) -> int:
 
 
 #: Strings of which a text must hold one to hold any signature; cc and by must stand apart from each other by a gap.
-GATES = ("licen", "gpl", "reserved", "copyright", "commons", "domain", "redistribution", "permission", "proprietary", "unauthori", "warrant", "spdx", "mpl", "neither", "unencumbered", "cc0", "clause", "bsd")
+GATES = ("licen", "gpl", "reserved", "copyright", "copr", "commons", "domain", "redistribution", "permission", "proprietary", "unauthori", "warrant", "spdx", "mpl", "neither", "unencumbered", "cc0", "clause", "bsd", "attribution", "advertising", "altered", "exception", "linux", "trade", "persons")
 GATE_CC = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
 
 

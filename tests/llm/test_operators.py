@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from driftloom.llm import bpe_trie, cost_packing, ecoc_langid, license_scan, media_chunks, ngram_jaccard, quality_llr, quote_link, suffix_dedup, url_boost
+from driftloom.llm import arrowkit, bpe_trie, cost_packing, ecoc_langid, license_scan, media_chunks, ngram_jaccard, quality_llr, quote_link, suffix_dedup, url_boost
 from driftloom.llm.components import connected_components
 from driftloom.llm.queries import vocabulary
 from tests.llm import helpers as H
@@ -145,19 +145,19 @@ def test_license_base_columns(spark, docs):
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in by.values())
 
 
-def longest_text(parsed):
-    """A text of the longest form of a regular expression."""
+def longest_text(parsed, pick=max):
+    """A text of the longest (or, with min, the shortest) form of a regular expression."""
     out = ""
     for op, arg in parsed:
         name = str(op)
         if name == "LITERAL":
             out += chr(arg)
         elif name == "MAX_REPEAT":
-            out += longest_text(arg[2]) * arg[1]
+            out += longest_text(arg[2], pick) * pick(arg[:2])
         elif name == "SUBPATTERN":
-            out += longest_text(arg[3])
+            out += longest_text(arg[3], pick)
         elif name == "BRANCH":
-            out += max(map(longest_text, arg[1]), key=lambda x: x.count(" "))
+            out += pick((longest_text(x, pick) for x in arg[1]), key=lambda x: x.count(" "))
         elif name == "IN":
             out += chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])
         else:
@@ -184,10 +184,10 @@ def brute_labels(text):
 NOTICE = "under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
 
 
-def test_license_rules_see_their_longest_form(spark):
+def test_license_rules_see_their_longest_and_shortest_forms(spark):
     import re._parser
 
-    texts = sorted({longest_text(re._parser.parse(rule)) for _, _, rule, _ in license_scan.rules()})
+    texts = sorted({longest_text(re._parser.parse(rule), pick) for _, _, rule, _ in license_scan.rules() for pick in (max, min)})
     for _, _, rule, _ in license_scan.rules():
         text = longest_text(re._parser.parse(rule))
         assert re.fullmatch(rule, text) and len(text.split()) <= license_scan.longest(rule)
@@ -237,6 +237,36 @@ def test_jaccard_blocks_of_a_large_cluster(spark, monkeypatch):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == H.key(H.components(rows, 4, 85, 100))
 
 
+def test_jaccard_rings_hot_sets_and_hot_shingles(spark, monkeypatch):
+    """Clusters of many blocks whose sets lie at all distances from the pivot; copies, shingles and clusters count as hot."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 8)
+    monkeypatch.setattr(ngram_jaccard, "HOT", 3)
+    monkeypatch.setattr(arrowkit, "HOT_ROWS", 10)
+    monkeypatch.setattr(arrowkit, "HOT_SHARE", 4)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(150):
+        # a chain of texts: each a little further from the first
+        if i % 5 == 0:
+            words[rng.randrange(80)] = f"y{i}"
+        w = list(words)
+        if i % 3:
+            w[rng.randrange(80)] = f"z{rng.randrange(9)}"
+        rows.append((i, " ".join(w), "en"))
+    rows += [(200 + i, rows[7][1].upper(), "en") for i in range(60)] + [(300 + i, "", "en") for i in range(30)]
+    got = ngram_jaccard.jaccard_components(H.frame(spark, rows), 4, 85, 100)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == H.key(H.components(rows, 4, 85, 100))
+
+
+def test_jaccard_words_of_two_letters_in_a_pattern(spark):
+    """Sums over powers of two let such words coincide."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    rows = [(1, word, "en"), (2, word.translate(str.maketrans("ab", "ba")), "en"), (3, word, "en")]
+    got = ngram_jaccard.jaccard_components(H.frame(spark, rows))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
 def test_jaccard_empty_table_and_filter(docs, empty):
     assert ngram_jaccard.jaccard_components(empty).count() == 0
     out = ngram_jaccard.keep_first(docs)
@@ -449,12 +479,16 @@ def test_packing(docs):
         assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length, r.sequence_tokens))
         pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+    thin = 0
     for parts in sequences.values():
         at = 0
         for offset, length, size in sorted(parts):
             assert offset == at
             at += length
-        assert at == size <= 4096 and (size == 4096 or size & (size - 1) == 0)
+        assert at == size <= 4096
+        thin += size <= 4096 - cost_packing.GAP
+    # one a task at most
+    assert thin <= docs.rdd.getNumPartitions()
     copies = {d: [x for x, _, _ in H.cases()].count(d) for d in ids_of}
     for d, ids in ids_of.items():
         assert sum(n for _, n in pieces[d]) == len(ids) * copies[d]
@@ -470,15 +504,23 @@ def test_word_ids_are_the_library():
         assert np.array(e.ids, "<u4").tobytes() == ids
 
 
-@pytest.mark.parametrize("lengths", [[1], [4096], [9000, 1, 1], [3000] * 7, list(range(1, 300)), [2] * 5])
+@pytest.mark.parametrize("lengths", [[1], [4096], [9000, 1, 1], [3000] * 7, list(range(1, 300)), [2] * 5, [(i * 7919) % 900 + 5 for i in range(900)]])
 def test_pack_run(lengths):
-    pieces, sizes = cost_packing.pack_run(np.array(lengths))
-    used, held = [0] * len(sizes), [0] * len(lengths)
+    pieces, sizes, done = cost_packing.pack_run(np.array(lengths))
+    used, held, cost = [0] * len(sizes), [0] * len(lengths), [0.0] * len(sizes)
     for doc, start, n, k, offset in pieces:
         assert start == held[doc] and offset == used[k] and n > 0
+        if n == lengths[doc]:
+            assert cost[k] == min(c for c, u in zip(cost, used) if 4096 - u >= n)
         held[doc] += n
         used[k] += n
-    assert held == lengths and used == sizes
+        cost[k] += n + n * n / 4096
+    assert held == done.tolist() and used == sizes and max(used) <= 4096
+    left = sum(lengths) - sum(held)
+    assert not left or all(4096 - u < cost_packing.GAP for u in used)
+    if len(lengths) > 500:
+        assert sum(n < lengths[d] for d, _, n, _, _ in pieces) < len(lengths) // 10
+        assert max(cost) < 1.1 * min(cost)
 
 
 def test_packing_empty_table(empty):
