@@ -31,7 +31,7 @@ def unquoted(x: Column) -> Column:
     """Without one matching pair of quotes around it, then stripped."""
     s = strip(x)
     pair = s.rlike(r'(?s)^".*"$') | s.rlike(r"(?s)^'.*'$")
-    return strip(F.when(pair & (F.length(s) >= 2), s.substr(F.lit(2), F.length(s) - 2)).otherwise(s))
+    return strip(F.when(s.isin('"', "'"), "").when(pair, s.substr(F.lit(2), F.length(s) - 2)).otherwise(s))
 
 
 def tokens(length: Column) -> Column:

@@ -35,12 +35,26 @@ def delay(attempt: int, limited: bool, jitter: Callable[[float], float]) -> floa
     return 60 * 2**attempt + jitter(5) if limited else 5 * 2**attempt + jitter(2)
 
 
-def ask(client: Callable[[str], str], prompt: str, attempts: int = 5, is_limit=lambda e: "rate" in str(e).lower() or "429" in str(e), sleep=time.sleep, seed: int = 0) -> str | None:
+#: What the message of an error about too many calls has.
+LIMIT_WORDS = ("429", "rate", "quota", "resource_exhausted")
+
+
+def limited(error: Exception) -> bool:
+    return any(word in str(error).lower() for word in LIMIT_WORDS)
+
+
+def bare(said: str) -> str:
+    """Stripped, and without one pair of quotes around it."""
+    said = said.strip()
+    return said[1:-1].strip() if said[:1] in ('"', "'") and said[-1:] == said[:1] else said
+
+
+def ask(client: Callable[[str], str], prompt: str, attempts: int = 5, is_limit=limited, sleep=time.sleep, seed: int = 0) -> str | None:
     """A model's answer; errors wait, empty answers are asked again at once, None after all attempts."""
     rng = random.Random(seed)
     for attempt in range(attempts):
         try:
-            said = (client(prompt) or "").strip()
+            said = bare(client(prompt) or "")
         except Exception as e:  # any failure of the client is tried again
             sleep(delay(attempt, is_limit(e), lambda most: rng.uniform(0, most)))
             continue

@@ -10,13 +10,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Tags and attributes.
-INTERACTIVE = ("a", "button", "input", "select", "textarea", "option", "label")
-DROPPED = ("script", "style", "noscript", "svg", "iframe", "meta")
-KEPT = ("id", "name", "class", "href", "type", "value", "aria-label", "data-el-id")
-VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+#: Tags that get ids, tags that go with all they hold, attributes that stay, elements without an end tag.
+INTERACTIVE = ("a", "button", "input", "select", "textarea", "form", "label")
+DROPPED = ("script", "style", "noscript", "svg", "meta", "link")
+KEPT = ("id", "name", "type", "value", "placeholder", "aria-label", "href", "data-el-id")
+VOID = ("area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr", "image", "img", "input", "isindex", "keygen", "link", "menuitem", "meta", "nextid", "param", "source", "spacer", "track", "wbr")
+#: Most characters of a text, and the marker of a page that is cut.
 LONG = 200
-CUT = "\n<!-- truncated -->"
+CUT = "\n[...observation truncated due to length...]"
 
 
 class Node:
@@ -26,8 +27,30 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs or {}, []
 
 
+class Mark(str):
+    """What a comment, declaration or instruction says; it is written between begin and end."""
+
+    begin, end = "<!--", "-->"
+
+
+class Doctype(Mark):
+    begin, end = "<!DOCTYPE ", ">\n"
+
+
+class CharacterData(Mark):
+    begin, end = "<![CDATA[", "]]>"
+
+
+class Declaration(Mark):
+    begin, end = "<?", "?>"
+
+
+class Instruction(Mark):
+    begin, end = "<?", ">"
+
+
 class Tree(HTMLParser):
-    """Unclosed elements end with the one that holds them; an end tag without a start is ignored."""
+    """Unclosed elements end with the one that holds them; an end tag without a start is ignored; the last of equal attributes counts."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -50,7 +73,24 @@ class Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
-        self.open[-1].children.append(data)
+        last = self.open[-1].children
+        if last and type(last[-1]) is str:
+            last[-1] += data
+        else:
+            last.append(data)
+
+    def handle_comment(self, data):
+        self.open[-1].children.append(Mark(data))
+
+    def handle_decl(self, decl):
+        self.open[-1].children.append(Doctype(decl[len("doctype ") :]))
+
+    def unknown_decl(self, data):
+        cdata = data.upper().startswith("CDATA[")
+        self.open[-1].children.append(CharacterData(data[6:]) if cdata else Declaration(data))
+
+    def handle_pi(self, data):
+        self.open[-1].children.append(Instruction(data))
 
 
 def parse(html: str) -> Node:
@@ -60,21 +100,43 @@ def parse(html: str) -> Node:
     return tree.root
 
 
+def quoted(value: str) -> str:
+    """In double quotes, or in single ones if it has double quotes and no single ones."""
+    value = escape(value, quote=False)
+    if '"' not in value:
+        return f'"{value}"'
+    return f"'{value}'" if "'" not in value else '"' + value.replace('"', "&quot;") + '"'
+
+
 def text_of(node) -> str:
-    if isinstance(node, str):
-        return escape(node, quote=False)
-    inside = "".join(map(text_of, node.children))
-    if not node.tag:
-        return inside
-    attrs = "".join(f' {k}="{escape(v)}"' for k, v in node.attrs.items())
-    return f"<{node.tag}{attrs}>" + ("" if node.tag in VOID else f"{inside}</{node.tag}>")
+    """A node as HTML. Without recursion, as pages may nest deeply."""
+    out, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            out.append(x[0])
+        elif isinstance(x, Mark):
+            out.append(x.begin + x + x.end)
+        elif isinstance(x, str):
+            out.append(escape(x, quote=False))
+        else:
+            if x.tag:
+                attrs = "".join(f" {k}={quoted(v)}" for k, v in x.attrs.items())
+                out.append(f"<{x.tag}{attrs}{'/' if x.tag in VOID else ''}>")
+                if x.tag not in VOID:
+                    todo.append((f"</{x.tag}>",))
+            todo += reversed(x.children)
+    return "".join(out)
 
 
 def walk(node: Node):
-    for child in node.children:
-        if isinstance(child, Node):
-            yield child
-            yield from walk(child)
+    """All elements below, in document order."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if x is not node:
+            yield x
+        todo += [c for c in reversed(x.children) if isinstance(c, Node)]
 
 
 def selector(node: Node) -> str:
@@ -93,27 +155,38 @@ def numbered(root: Node) -> dict[str, str]:
     return found
 
 
-def simplified(node: Node) -> None:
-    out = []
-    for child in node.children:
-        if isinstance(child, str):
-            if child.strip():
-                out.append(child if len(child) <= LONG else child[:LONG] + "...")
-        elif child.tag not in DROPPED:
-            simplified(child)
-            child.attrs = {k: v for k, v in child.attrs.items() if k in KEPT}
-            lone = child.tag in ("div", "span") and not child.attrs and len(child.children) == 1
-            out.append(child.children[0] if lone else child)
-    node.children = out
+def kept_text(text: str) -> str | None:
+    """Stripped and cut if it is long, gone if it is blank."""
+    bare = text.strip()
+    return bare[:LONG] + "..." if len(bare) > LONG else text if bare else None
+
+
+def simplified(root: Node) -> None:
+    """Drops tags, attributes and blank texts, cuts long texts, and puts the only child of a div or span without attributes in its place."""
+    order = [root]
+    for node in order:
+        node.children = [c for c in (kept_text(c) if isinstance(c, str) else c if c.tag not in DROPPED else None for c in node.children) if c is not None]
+        node.attrs = {k: v for k, v in node.attrs.items() if k in KEPT}
+        order += [c for c in node.children if isinstance(c, Node)]
+    lone = lambda c: isinstance(c, Node) and c.tag in ("div", "span") and not c.attrs and len(c.children) == 1
+    # children come after their parents in this order, so inner ones are done first
+    for node in reversed(order):
+        node.children = [c.children[0] if lone(c) else c for c in node.children]
 
 
 def element_ids_of(html: str) -> dict[str, str]:
     return numbered(parse(html))
 
 
-def simplify_text(html: str) -> str:
+def with_element_ids(html: str) -> str:
+    """The page, its interactive elements numbered."""
     root = parse(html)
     numbered(root)
+    return text_of(root)
+
+
+def simplify_text(html: str) -> str:
+    root = parse(html)
     simplified(root)
     return re.sub(r"\s+", " ", text_of(root)).strip()
 
@@ -136,6 +209,16 @@ def element_ids(html: Column) -> Column:
     return each(html)
 
 
+def numbered_html(html: Column) -> Column:
+    """The page with its interactive elements numbered."""
+
+    @F.pandas_udf("string")
+    def each(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda p: with_element_ids(p or ""))
+
+    return each(html)
+
+
 def simplify_html(html: Column) -> Column:
     @F.pandas_udf("string")
     def each(pages: pd.Series) -> pd.Series:

@@ -10,8 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from driftloom.functions.actions import ACTION_TYPES, CLICK_TYPES
+from driftloom.functions.text import strip
 
 PARSED = "ok boolean, rationale string, type string, click_type string, name string, text string"
+#: Fixed value: an object in a code fence.
 FENCED = re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.S | re.I)
 #: Ends of strings and braces; an escaped character never ends a string.
 PART = re.compile(r'"(?:[^"\\]|\\.)*"|"|[{}]', re.S)
@@ -76,6 +78,11 @@ def parse_completion(text: Column) -> Column:
     return each(text)
 
 
+def said(rationale: Column) -> Column:
+    """A parsed rationale, stripped; null if that leaves nothing."""
+    return F.nullif(strip(rationale), F.lit(""))
+
+
 def lcs_length(a: list, b: list) -> int:
     """Length of the longest common subsequence, a row of the table as the bits of one integer."""
     places: dict = {}

@@ -1,19 +1,103 @@
-"""Prompts: rendering, additive token counts, and fitting of history to a budget."""
+"""Prompts: their texts, rendering, and requests for rationales."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts of a prompt.
-SYSTEM = "You are a shopper. Given the persona, the session so far and the current page, give the next action."
+SYSTEM = """\
+<IMPORTANT>
+Your task is to predict the immediate next action of a shopper.
+You need to pretend that you are a real user shopping on amazon.com.
+The history action, rationale, context and the user persona will be provided to you.
+Ensure your prediction follows natural behavior sequences.
+</IMPORTANT>
+
+# Action Space
+You predict a SINGLE action from the following three types:
+
+- click: Click on a button or clickable element identified by `name`.
+  {"type": "click", "name": "<element_name>"}
+
+- input: Enter text into an input field identified by `name`.
+  {"type": "input", "name": "<element_name>", "text": "<text>"}
+
+- terminate: End the session — the shopper stops interacting with the page.
+  {"type": "terminate"}
+
+The `name` value MUST be copied verbatim from the `name="..."` attribute of
+the corresponding element in the current page HTML. Do not invent names.
+
+# Rationale
+The rationale is the short reason WHY this specific shopper takes this
+action, conditioned on their persona and what they have already done in this
+session. Some history steps include real user-provided rationales; use them
+as a guide to plausible reasoning style.
+
+# Context
+Your context is the simplified HTML of the Amazon page the shopper is
+currently looking at, together with the shopper's persona and the recent
+action history. The HTML retains interactive elements via `name="..."`
+attributes and is the source of truth for valid action targets.
+
+# Persona
+The user persona reflects the user's demographics, personality, and shopping
+preferences. Use it to ground your reasoning, BUT DO NOT RELY ON IT
+exclusively — actual behavior is shaped more by what the shopper has just
+seen and done in this session than by their abstract profile.
+
+# Output Format
+Produce a SINGLE JSON object — no surrounding prose, no code fences, no
+extra keys — with exactly two top-level keys: "rationale" and "action".
+
+{
+  "rationale": "<one or two short sentences from the shopper's perspective>",
+  "action":    <one of the three action shapes above>
+}
+"""
 OMITTED = "[earlier page HTML omitted to fit context window]"
 CUT = "\n<!-- current page HTML truncated for context length -->"
 PERSONA, HISTORY, CURRENT = "## Shopper persona\n", "## Session history\n", "\n## Current page (step "
-TASK = "\n\n## Task\nPredict the immediate next action this shopper takes on the current page.\nReturn a SINGLE JSON object with keys \"rationale\" and \"action\", matching the\noutput format specified in the system message. No prose, no code fences."
-FURNITURE = "## Page furniture (used across this shopping session)\nThe pages in this session reuse the chrome below. Wherever you see [[F1]],\n[[F2]], ... inside any HTML below, expand it using the same-numbered block\nin this section. These do not change across steps.\n"
+TASK = """
+
+## Task
+Predict the immediate next action this shopper takes on the current page.
+Return a SINGLE JSON object with keys "rationale" and "action", matching the
+output format specified in the system message. No prose, no code fences."""
+FURNITURE = """\
+## Page furniture (used across this shopping session)
+The pages in this session reuse the chrome below. Wherever you see [[F1]],
+[[F2]], ... inside any HTML below, expand it using the same-numbered block
+in this section. These do not change across steps.
+"""
 STEP, PAGE, WHY, ACTION = "### Step ", "Page (HTML):\n", "Why: ", "Action: "
 CHAT_SYSTEM, CHAT_USER, CHAT_ASSISTANT = "<|im_start|>system\n", "<|im_end|>\n<|im_start|>user\n", "<|im_end|>\n<|im_start|>assistant\n"
+#: Texts of a request for a rationale.
+ASK = """
+You are helping label a shopping-behavior dataset. Given a specific shopper's
+persona, the Amazon page they were looking at, and the action they actually
+took on that page, write a brief plausible rationale for WHY THIS SPECIFIC
+SHOPPER took this action.
+
+Rules:
+- 1 to 2 short sentences, written in the first person from the shopper's
+  perspective.
+- Refer to concrete persona traits (demographics, shopping habits, stated
+  preferences, personality) WHEN they plausibly explain the action.
+- Do NOT invent facts that are not present in the persona or page.
+- Do NOT restate the action verbatim ("I clicked X because I clicked X"); the
+  rationale should explain motivation, not describe behavior.
+- Output ONLY the rationale text. No preamble, no quotation marks, no JSON.
+
+# Shopper persona
+"""
+ASK_EXAMPLES = "# Real shoppers' rationales (style reference)\n"
+ASK_SNIPPET, ASK_ACTION, ASK_RATIONALE = "- Persona snippet: ", "\n  Action: ", "\n  Rationale: "
+ASK_PAGE = "\n# Current page (HTML)\n"
+ASK_TAKEN = "\n\n# Action this shopper took on this page\n"
+ASK_END = "\n\n# Rationale (1-2 short sentences, first person, ONLY the rationale text):"
+ASK_CUT = "\n<!-- observation truncated for synthesis context -->"
 MAX_TOKENS = 8_000
 
 
@@ -22,12 +106,15 @@ def step_block(number: Column, page: Column, why: Column, wire: Column) -> Colum
     return F.concat(F.lit(STEP), number.cast("string"), F.lit("\n" + PAGE), page, F.lit("\n\n"), reason, F.lit(ACTION), wire, F.lit("\n\n"))
 
 
+def furniture_section(pieces: Column) -> Column:
+    """The part of a compressed prompt that defines a session's furniture; a newline if it has none."""
+    listed = F.array_join(F.transform(pieces, lambda p, i: F.concat(F.lit("[[F"), (i + 1).cast("string"), F.lit("]] =\n"), p, F.lit("\n"))), "")
+    return F.when(F.size(pieces) > 0, F.concat(F.lit(FURNITURE), listed, F.lit("\n\n"))).otherwise("\n")
+
+
 def user_prompt(persona: Column, blocks: Column, number: Column, current: Column, pieces: Column | None = None) -> Column:
     """blocks: array of step_block. With pieces (an array, may be empty) the compressed form."""
-    section = F.lit("")
-    if pieces is not None:
-        listed = F.array_join(F.transform(pieces, lambda p, i: F.concat(F.lit("[[F"), (i + 1).cast("string"), F.lit("]] =\n"), p, F.lit("\n"))), "")
-        section = F.when(F.size(pieces) > 0, F.concat(F.lit(FURNITURE), listed, F.lit("\n\n"))).otherwise("\n")
+    section = F.lit("") if pieces is None else furniture_section(pieces)
     return F.concat(F.lit(PERSONA), persona, F.lit("\n\n"), section, F.lit(HISTORY), F.array_join(blocks, ""), F.lit(CURRENT), number.cast("string"), F.lit(")\n"), current, F.lit(TASK))
 
 
@@ -35,73 +122,26 @@ def chat(user: Column, system: str = SYSTEM) -> Column:
     return F.concat(F.lit(CHAT_SYSTEM + system + CHAT_USER), user, F.lit(CHAT_ASSISTANT))
 
 
-def fixed_length(compressed: bool) -> int:
-    """Characters of a chat prompt without persona, step blocks, number and current page."""
-    return len(CHAT_SYSTEM + SYSTEM + CHAT_USER + CHAT_ASSISTANT + PERSONA + "\n\n" + HISTORY + CURRENT + ")\n" + TASK) + (1 if compressed else 0)
-
-
-def step_costs(steps: DataFrame) -> DataFrame:
-    """Adds full, dropped (block lengths with page and with marker) and cum (their sums and page lengths over the steps before)."""
-    why = F.length("why")
-    base = len(STEP) + 1 + len(PAGE) + 2 + len(ACTION) + 2
-    rest = base + F.length((F.col("step_idx") + 1).cast("string")) + F.when(why > 0, why + len(WHY) + 1).otherwise(0) + F.length("action_wire_json")
-    before = Window.partitionBy("session_id").orderBy("step_idx").rowsBetween(Window.unboundedPreceding, -1)
-    out = steps.withColumn("full", (F.length("obs_hist") + rest).cast("long")).withColumn("dropped", (F.lit(len(OMITTED)) + rest).cast("long"))
-    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long")
-    return out.withColumn("cum_full", total("full")).withColumn("cum_dropped", total("dropped")).withColumn("cum_page", total(F.length("obs_hist").cast("long")))
-
-
-def fitted(steps: DataFrame, personas: DataFrame, max_tokens: int = MAX_TOKENS, compressed: bool = True) -> DataFrame:
-    """Counters of one sample per step, from lengths alone: pre_drop, k, n_prompt_tokens, and what was kept.
-
-    steps: session_id, user_id, split, step_idx, why, action_wire_json, obs_cur, obs_hist. The
-    smallest number k of oldest pages to drop is found over prefix sums, from the character
-    estimate on. If even k = all is too long, the current page is halved while over 100
-    characters; what is then still over keeps the last max_tokens tokens.
-    """
-    costed = step_costs(steps).join(personas, "user_id", "left").withColumn("persona_len", F.coalesce(F.length("persona"), F.lit(2)))
-    lengths = costed.select("user_id", "session_id", "split", "step_idx", "action_id", "persona_len", F.length("obs_cur").alias("cur"), "cum_full", "cum_dropped", "cum_page")
-    whole = Window.partitionBy("session_id")
-    sums = F.transform(F.sort_array(F.collect_list(F.struct("step_idx", "cum_full", "cum_dropped", "cum_page")).over(whole)), lambda x: x)
-    rows = lengths.withColumn("sums", sums).withColumn("budget", F.lit(4 * max_tokens).cast("long"))
-    rows = rows.withColumn("fixed", F.lit(fixed_length(compressed)) + F.col("persona_len") + F.length((F.col("step_idx") + 1).cast("string")))
-    pre = F.expr("filter(sequence(0, step_idx), k -> 2000 + persona_len + 50 * k + (cum_page - element_at(sums, k + 1).cum_page) + 300 * (step_idx - k) + cur + 300 <= budget)")
-    rows = rows.withColumn("pre_drop", F.coalesce(F.get(pre, F.lit(0)), F.col("step_idx")))
-    fit = F.expr("filter(sequence(pre_drop, step_idx), k -> fixed + cur + element_at(sums, k + 1).cum_dropped + cum_full - element_at(sums, k + 1).cum_full <= budget)")
-    rows = rows.withColumn("k", F.get(fit, F.lit(0)))
-    # halvings j that are tried, and the first that fits
-    tried = F.expr("filter(sequence(1, 40), j -> shiftright(cur, j - 1) > 100)")
-    rows = rows.withColumn("tried", tried).withColumn("over", F.col("fixed") + F.col("cum_dropped"))
-    rows = rows.withColumn("j", F.expr(f"coalesce(get(filter(tried, j -> over + shiftright(cur, j) + {len(CUT)} <= budget), 0), array_max(tried))"))
-    cut = F.col("k").isNull()
-    length = (
-        F.when(~cut, F.expr("fixed + cur + element_at(sums, k + 1).cum_dropped + cum_full - element_at(sums, k + 1).cum_full"))
-        .when(F.col("j").isNull(), F.col("over") + F.col("cur"))
-        .otherwise(F.expr(f"over + shiftright(cur, j) + {len(CUT)}"))
-    )
-    return rows.select(
-        "user_id",
-        "session_id",
-        "split",
-        "step_idx",
-        "action_id",
-        F.col("pre_drop").cast("int").alias("pre_drop"),
-        F.least(F.ceil(length / 4), F.lit(max_tokens)).cast("int").alias("n_prompt_tokens"),
-        F.when(cut, 0).otherwise(F.col("step_idx") - F.col("k")).cast("int").alias("n_history_full_html"),
-        F.coalesce("k", "step_idx").cast("int").alias("n_history_dropped_html"),
-        cut.alias("current_truncated"),
-    )
-
-
-def fast_fit(base: int, full: list[int], dropped: list[int], most: int) -> int:
-    """Number of oldest steps to drop: each drop swaps a step's full cost for its dropped one, until the sum fits."""
-    total, k = base + sum(full), 0
-    while total > most and k < len(full):
-        total, k = total + dropped[k] - full[k], k + 1
-    return k
-
-
-def synthesis_prompt(persona: Column, page: Column, wire: Column, most: int = 80_000) -> Column:
-    """What is asked of a model that explains an action; the page is cut at most characters."""
-    cut = F.when(F.length(page) > most, F.concat(F.substring(page, 1, most), F.lit("\n<!-- truncated -->"))).otherwise(page)
-    return F.concat(F.lit("Explain, as the shopper, in one or two sentences why this action was taken.\n\n# Shopper persona\n"), persona, F.lit("\n\n# Current page (HTML)\n"), cut, F.lit("\n\n# Action this shopper took on this page\n"), wire, F.lit("\n"))
+def fixed_length() -> int:
+    """Characters of a chat prompt without persona, furniture section, step blocks, number and current page."""
+    return len(CHAT_SYSTEM + SYSTEM + CHAT_USER + CHAT_ASSISTANT + PERSONA + "\n\n" + HISTORY + CURRENT + ")\n" + TASK)
+
+
+def examples(steps: DataFrame, personas: DataFrame, k: int = 3, seed: int = 0, most: int = 1200) -> DataFrame:
+    """k human rationales of the train split in the order of a seeded hash: action_id, place (that hash), snippet (the persona's first characters), action_wire_json, rationale."""
+    pool = steps.where("split = 'train' and rationale is not null").select("action_id", "user_id", "action_wire_json", "rationale")
+    picked = pool.withColumn("place", F.md5(F.concat(F.lit(f"{seed}:" if seed else ""), "action_id"))).orderBy("place", "action_id").limit(k)
+    return picked.join(personas, "user_id", "left").select("action_id", "place", F.substring(F.coalesce("persona", F.lit("{}")), 1, most).alias("snippet"), "action_wire_json", "rationale")
+
+
+def examples_section(shown: DataFrame) -> Column:
+    """The part of a request that shows a few examples (rows of the above), as a scalar subquery; empty without any."""
+    text = F.concat(F.lit(ASK_SNIPPET), "snippet", F.lit(ASK_ACTION), "action_wire_json", F.lit(ASK_RATIONALE), "rationale", F.lit("\n"))
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", text.alias("text")))), lambda x: x.text), "")
+    return shown.agg(F.when(F.count("*") > 0, F.concat(F.lit(ASK_EXAMPLES), lines, F.lit("\n"))).otherwise("")).scalar()
+
+
+def synthesis_prompt(persona: Column, page: Column, wire: Column, shown: Column | str = "", most: int = 80_000) -> Column:
+    """What is asked of a model that explains an action; shown: the examples' section; the page is cut at most characters."""
+    cut = F.when(F.length(page) > most, F.concat(F.substring(page, 1, most), F.lit(ASK_CUT))).otherwise(page)
+    return F.concat(F.lit(ASK), persona, F.lit("\n\n"), F.lit(shown) if isinstance(shown, str) else shown, F.lit(ASK_PAGE), cut, F.lit(ASK_TAKEN), wire, F.lit(ASK_END))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.operators.compress import estimated
+
 
 def common_length(a: str, b: str) -> int:
     """Length of the common prefix, by halving."""
@@ -51,14 +53,51 @@ def common_all(pages: Column) -> Column:
 
 
 def adjacent(steps: DataFrame) -> DataFrame:
-    """session_id, step_idx, len, lcp and lcs with the page before (null for the first)."""
+    """session_id, step_idx, len, lcp and lcs with the page before, and its length (null for the first)."""
     w = Window.partitionBy("session_id").orderBy("step_idx")
     page = F.coalesce("observation", F.lit(""))
     paired = steps.select("session_id", "step_idx", page.alias("page"), F.lag(page).over(w).alias("before"))
-    return paired.select("session_id", "step_idx", F.length("page").alias("len"), overlap(F.col("before"), F.col("page")).alias("o")).select("session_id", "step_idx", "len", "o.lcp", "o.lcs")
+    return paired.select("session_id", "step_idx", F.length("page").alias("len"), F.length("before").alias("before_len"), overlap(F.col("before"), F.col("page")).alias("o")).select("session_id", "step_idx", "len", "before_len", "o.lcp", "o.lcs")
 
 
 def headroom(pairs: DataFrame) -> DataFrame:
-    """Raw characters, and those left without what each page shares at its ends with the one before."""
+    """Raw characters, those left without what each page shares at its ends with the one before, and the saving in percent; sessions of one step don't count."""
+    pairs = pairs.withColumn("_n", F.count("*").over(Window.partitionBy("session_id"))).where("_n > 1")
     left = F.when(F.col("lcp").isNull(), F.col("len")).otherwise(F.greatest(F.lit(0), F.col("len") - F.col("lcp") - F.col("lcs")))
-    return pairs.agg(F.sum("len").cast("long").alias("raw_chars"), F.sum(left).cast("long").alias("dedup_chars"))
+    sums = pairs.agg(F.coalesce(F.sum("len"), F.lit(0)).cast("long").alias("raw_chars"), F.coalesce(F.sum(left), F.lit(0)).cast("long").alias("dedup_chars"))
+    return sums.withColumn("saving_pct_chars", F.when(F.col("raw_chars") > 0, F.round(100 * (1 - F.col("dedup_chars") / F.col("raw_chars")), 1)).otherwise(0.0))
+
+
+def report(sessions: DataFrame) -> DataFrame:
+    """Rows of per_session as the CSV report has them: the median cut to a whole number."""
+    return sessions.withColumn("median_html", F.floor("median_html").cast("long"))
+
+
+def per_session(steps: DataFrame, furniture: bool = True) -> DataFrame:
+    """session_id, n_steps, total_chars, median_html, adj_lcp_mean and, if asked for, furniture_chars of sessions of two steps or more."""
+    pairs = adjacent(steps).withColumn("pair", F.col("lcp").isNotNull() & (F.col("len") > 0) & (F.col("before_len") > 0))
+    sums = pairs.groupBy("session_id").agg(
+        F.count("*").alias("n_steps"), F.sum("len").cast("long").alias("total_chars"), F.percentile("len", 0.5).alias("median_html"), F.bround(F.coalesce(F.avg(F.when(F.col("pair"), F.col("lcp"))), F.lit(0.0)), 0).cast("long").alias("adj_lcp_mean")
+    )
+    sums = sums.where("n_steps > 1")
+    if not furniture:
+        return sums
+    pages = steps.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("step_idx", F.coalesce("observation", F.lit("")).alias("page")))).alias("p"))
+    return sums.join(pages.select("session_id", estimated(F.expr("transform(p, x -> x.page)")).cast("long").alias("furniture_chars")), "session_id")
+
+
+def measures(steps: DataFrame, furniture: bool = True) -> DataFrame:
+    """measure and value: the ten measures of redundancy, over sessions of two steps or more (eight without furniture)."""
+    pairs = adjacent(steps).withColumn("_n", F.count("*").over(Window.partitionBy("session_id"))).where("_n > 1")
+    both = pairs.where("lcp is not null and len > 0 and before_len > 0")
+    listed = lambda rows, *named: rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("double").alias("value")) for k, v in named])).alias("m")).select("m.*")
+    steps_of = listed(pairs, ("html_chars_per_step", F.col("len")))
+    ends = listed(both, ("adjacent_step_lcp_chars", F.col("lcp")), ("adjacent_step_lcs_chars", F.col("lcs")), ("adjacent_step_ratio", (F.col("lcp") + F.col("lcs")) / F.greatest("len", F.lit(1))))
+    sessions = listed(pairs.groupBy("session_id").agg(F.count("*").alias("n"), F.sum("len").alias("s")), ("step_count", F.col("n")), ("html_chars_per_session_total", F.col("s")))
+    pages = steps.groupBy("session_id").agg(F.collect_list(F.coalesce("observation", F.lit(""))).alias("p")).where("size(p) > 1")
+    shared = listed(pages.select(common_all(F.col("p")).alias("c")), ("all_step_common_prefix_chars", F.col("c.prefix")), ("all_step_common_suffix_chars", F.col("c.suffix")))
+    out = steps_of.unionByName(ends).unionByName(sessions).unionByName(shared)
+    if furniture:
+        found = per_session(steps).select("furniture_chars", (F.col("furniture_chars") / F.greatest("median_html", F.lit(1))).alias("r"))
+        out = out.unionByName(listed(found, ("sampled_furniture_chars_per_session", F.col("furniture_chars")), ("sampled_furniture_ratio_vs_median_html", F.col("r"))))
+    return out

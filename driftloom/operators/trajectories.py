@@ -25,11 +25,30 @@ def ordered_steps(raw: DataFrame) -> DataFrame:
 
 def sessions(steps: DataFrame, personas: DataFrame) -> DataFrame:
     """One nested row per session: user_id, session_id, split, persona, steps."""
-    fields = [c for c in ("step_idx", "action_id", "ts", "observation", "action_json", "action_wire_json", "rationale") if c in steps.columns]
+    fields = [c for c in ("step_idx", "action_id", "ts", "observation", "n_page", "action_json", "action_wire_json", "rationale") if c in steps.columns]
     nested = steps.groupBy("session_id").agg(F.first("user_id").alias("user_id"), F.first("split").alias("split"), F.sort_array(F.collect_list(F.struct(*fields))).alias("steps"))
     return nested.join(personas, "user_id", "left").withColumn("persona", F.coalesce("persona", F.lit("{}")))
 
 
+def of_sessions(steps: DataFrame, table: DataFrame, ordinal: str) -> DataFrame:
+    """Steps of the sessions in a table of sessions, with the user that it names; of rows with equal session_id the first by ordinal counts."""
+    first = table.where("session_id is not null").groupBy("session_id").agg(F.min_by("user_id", ordinal).alias("user_id"))
+    return steps.drop("user_id").join(first, "session_id")
+
+
+def capped(steps: DataFrame, most: int) -> DataFrame:
+    """Steps of the first sessions by session_id, most of them; a cap for trials."""
+    return steps.join(F.broadcast(steps.select("session_id").distinct().orderBy("session_id").limit(most)), "session_id", "left_semi")
+
+
+def session(nested: DataFrame, session_id: str):
+    """The row of one session; LookupError if there is none."""
+    found = nested.where(F.col("session_id") == session_id).head(1)
+    if not found:
+        raise LookupError(f"no session {session_id}")
+    return found[0]
+
+
 def samples(nested: DataFrame) -> DataFrame:
     """One sample per step t: its step, and the steps before it as history."""
     return nested.select("user_id", "session_id", "split", "persona", F.posexplode("steps").alias("t", "step"), "steps").withColumn("history", F.slice("steps", F.lit(1), F.col("t"))).drop("steps")

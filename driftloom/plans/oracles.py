@@ -77,31 +77,61 @@ cum AS (
 """
 
 
-def fit(page: str, most: int) -> str:
+def fit(page: str, most: int, plain: bool = False) -> str:
+    from driftloom.operators.packing import LEAST, PLAIN_LEAST
     from driftloom.operators.prompts import CUT, fixed_length
 
+    tokens = "ceil(len / 4.0)" if plain else f"least(ceil(len / 4.0), {most})"
     return costs(page) + f"""
-, lens AS (SELECT c.*, length(observation) AS cur, coalesce(length(persona), 2) AS pl, {fixed_length(True)} + coalesce(length(persona), 2) + length(CAST(step_idx + 1 AS VARCHAR)) AS fixed FROM cum c LEFT JOIN persona USING (user_id)),
+, lens AS (SELECT c.*, length(observation) AS cur, coalesce(length(persona), 2) AS pl, {fixed_length() + (not plain)} + coalesce(length(persona), 2) + length(CAST(step_idx + 1 AS VARCHAR)) AS fixed, coalesce(persona, '{{}}') AS who FROM cum c LEFT JOIN persona USING (user_id)),
 pre AS (
   SELECT a.session_id, a.step_idx, min(b.step_idx) AS k FROM lens a JOIN lens b ON b.session_id = a.session_id AND b.step_idx <= a.step_idx
-  WHERE 2000 + a.pl + 50 * b.step_idx + (a.cum_page - b.cum_page) + 300 * (a.step_idx - b.step_idx) + a.cur + 300 <= {4 * most} GROUP BY 1, 2),
+  WHERE {'true' if plain else f'2000 + a.pl + 50 * b.step_idx + (a.cum_page - b.cum_page) + 300 * (a.step_idx - b.step_idx) + a.cur + 300 <= {4 * most}'} GROUP BY 1, 2),
 withpre AS (SELECT l.*, CAST(coalesce(p.k, l.step_idx) AS INTEGER) AS pre_drop FROM lens l LEFT JOIN pre p USING (session_id, step_idx)),
-fits AS (
+tries AS (
   SELECT a.session_id, a.step_idx, arg_min(a.fixed + a.cur + b.cum_dropped + a.cum_full - b.cum_full, b.step_idx) AS len, min(b.step_idx) AS k
   FROM withpre a JOIN lens b ON b.session_id = a.session_id AND b.step_idx BETWEEN a.pre_drop AND a.step_idx
   WHERE a.fixed + a.cur + b.cum_dropped + a.cum_full - b.cum_full <= {4 * most} GROUP BY 1, 2),
 halves AS (
   SELECT a.session_id, a.step_idx, min(CASE WHEN a.fixed + a.cum_dropped + (a.cur >> j) + {len(CUT)} <= {4 * most} THEN j END) AS j, max(j) AS jmax
-  FROM withpre a, range(1, 41) t(j) WHERE (a.cur >> (j - 1)) > 100 GROUP BY 1, 2),
+  FROM withpre a, range(1, 41) t(j) WHERE (a.cur >> (j - 1)) > {PLAIN_LEAST if plain else LEAST} GROUP BY 1, 2),
+chosen AS (
+  SELECT w.*, f.k, CASE WHEN f.k IS NULL THEN coalesce(h.j, h.jmax) END AS j,
+    CASE WHEN f.k IS NOT NULL THEN f.len WHEN h.jmax IS NULL THEN w.fixed + w.cum_dropped + w.cur ELSE w.fixed + w.cum_dropped + (w.cur >> coalesce(h.j, h.jmax)) + {len(CUT)} END AS len
+  FROM withpre w LEFT JOIN tries f USING (session_id, step_idx) LEFT JOIN halves h USING (session_id, step_idx)),
 fitted AS (
-  SELECT w.user_id, w.session_id, w.split, w.step_idx, w.action_id, w.pre_drop,
-    CAST(least(ceil((CASE WHEN f.k IS NOT NULL THEN f.len WHEN h.jmax IS NULL THEN w.fixed + w.cum_dropped + w.cur ELSE w.fixed + w.cum_dropped + (w.cur >> coalesce(h.j, h.jmax)) + {len(CUT)} END) / 4.0), {most}) AS INTEGER) AS n_prompt_tokens,
-    CAST(CASE WHEN f.k IS NULL THEN 0 ELSE w.step_idx - f.k END AS INTEGER) AS n_history_full_html,
-    CAST(coalesce(f.k, w.step_idx) AS INTEGER) AS n_history_dropped_html, f.k IS NULL AS current_truncated
-  FROM withpre w LEFT JOIN fits f USING (session_id, step_idx) LEFT JOIN halves h USING (session_id, step_idx))
+  SELECT *, CAST({tokens} AS INTEGER) AS n_prompt_tokens, CAST(CASE WHEN k IS NULL THEN 0 ELSE step_idx - k END AS INTEGER) AS n_history_full_html,
+    CAST(coalesce(k, step_idx) AS INTEGER) AS n_history_dropped_html, k IS NULL AS current_truncated,
+    CASE WHEN synth <> '' THEN 'synthetic' WHEN rationale <> '' THEN 'human' ELSE 'none' END AS rationale_source
+  FROM chosen)
 """
 
 
+def q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def rendered(page: str, most: int, plain: bool = False) -> str:
+    """Adds shown, the whole prompt of each sample."""
+    from driftloom.operators import prompts as P
+
+    whole = f"{q(P.CHAT_SYSTEM + P.SYSTEM + P.CHAT_USER + P.PERSONA)} || who || {q(chr(10) * (2 if plain else 3) + P.HISTORY)} || coalesce(h.earlier, '') || {q(P.CURRENT)} || (step_idx + 1) || {q(')' + chr(10))} || CASE WHEN j IS NULL THEN observation ELSE left(observation, cur >> j) || {q(P.CUT)} END || {q(P.TASK + P.CHAT_ASSISTANT)}"
+    block = lambda page: f"{q(P.STEP)} || (step_idx + 1) || {q(chr(10) + P.PAGE)} || {page} || chr(10) || chr(10) || CASE WHEN why <> '' THEN {q(P.WHY)} || why || chr(10) ELSE '' END || {q(P.ACTION)} || action_wire_json || chr(10) || chr(10)"
+    return fit(page, most, plain) + f"""
+, b AS (SELECT session_id, step_idx, {block(page)} AS block, {block(q(P.OMITTED))} AS gone FROM sliced),
+h AS (
+  SELECT f.session_id, f.step_idx, string_agg(CASE WHEN b.step_idx < f.n_history_dropped_html THEN b.gone ELSE b.block END, '' ORDER BY b.step_idx) AS earlier
+  FROM fitted f JOIN b ON b.session_id = f.session_id AND b.step_idx < f.step_idx GROUP BY 1, 2),
+w AS (SELECT f.*, {whole} AS whole FROM fitted f LEFT JOIN h USING (session_id, step_idx)),
+texts AS (SELECT *, {'whole' if plain else f'CASE WHEN k IS NULL AND length(whole) > {4 * most} THEN right(whole, {4 * most}) ELSE whole END'} AS shown, {completion('why')} AS said FROM w)
+"""
+
+
+SAMPLES = """
+SELECT CAST(user_id AS BIGINT) AS user_id, session_id, step_idx, action_id, split, md5(shown) AS prompt_text, md5(said) AS completion_text, action_json AS action_gt, md5(coalesce(rationale, '')) AS rationale_gt, rationale_source,
+  n_prompt_tokens, CAST(ceil(length(said) / 4.0) AS INTEGER) AS n_completion_tokens, n_prompt_tokens + CAST(ceil(length(said) / 4.0) AS INTEGER) AS n_total_tokens, n_history_full_html, n_history_dropped_html, current_truncated FROM texts"""
+
+
 PREDICTED = """
 , pred0 AS (
   SELECT s.*, event_id % 7 AS m, event_id % 7 <> 5 AS ok,
@@ -134,7 +164,7 @@ CLASSES = """
 , lab AS (SELECT CASE WHEN ok THEN pt ELSE '__INVALID__' END AS p, type AS g FROM pred),
 names AS (SELECT p AS label FROM lab UNION SELECT g FROM lab),
 sums AS (SELECT label, count(*) FILTER (p = label AND g = label) AS tp, count(*) FILTER (p = label AND g <> label) AS fp, count(*) FILTER (p <> label AND g = label) AS fn FROM names, lab GROUP BY 1),
-pr AS (SELECT label, tp + fn AS support, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0::DOUBLE END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0::DOUBLE END AS recall FROM sums),
+pr AS (SELECT label, tp + fn AS support, tp + fp AS support_pred, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0::DOUBLE END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0::DOUBLE END AS recall FROM sums),
 cls AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0::DOUBLE END AS f1 FROM pr)
 """
 
@@ -154,19 +184,49 @@ def completion(said: str) -> str:
     return f"""'{{"action": ' || action_wire_json || ', "rationale": ' || CAST(to_json(trim({said}, {blank})) AS VARCHAR) || '}}'"""
 
 
-def prompt() -> str:
+#: Pages beside the one before, and the lengths of what they share at both ends.
+PAIRS = """
+, adj AS (SELECT session_id, step_idx, coalesce(observation, '') AS page, lag(coalesce(observation, '')) OVER (PARTITION BY session_id ORDER BY step_idx) AS prev, count(*) OVER (PARTITION BY session_id) AS steps_of FROM steps),
+pairs AS (
+  SELECT session_id, step_idx, steps_of, CAST(length(page) AS INTEGER) AS len, CAST(length(prev) AS INTEGER) AS before_len,
+    CAST(CASE WHEN prev IS NOT NULL THEN coalesce(list_position(list_transform(list_zip(string_split(prev, ''), string_split(page, ''), true), lambda x: x[1] = x[2]), false) - 1, least(length(prev), length(page))) END AS INTEGER) AS lcp,
+    CAST(CASE WHEN prev IS NOT NULL THEN coalesce(list_position(list_transform(list_zip(list_reverse(string_split(prev, '')), list_reverse(string_split(page, '')), true), lambda x: x[1] = x[2]), false) - 1, least(length(prev), length(page))) END AS INTEGER) AS lcs
+  FROM adj)
+"""
+SHARED = """
+, ends AS (SELECT session_id, count(*) AS n, min(coalesce(observation, '')) AS a, max(coalesce(observation, '')) AS b, min(reverse(coalesce(observation, ''))) AS c, max(reverse(coalesce(observation, ''))) AS d FROM steps GROUP BY 1),
+shared AS (
+  SELECT session_id, n, CAST(coalesce(list_position(list_transform(list_zip(string_split(a, ''), string_split(b, ''), true), lambda x: x[1] = x[2]), false) - 1, least(length(a), length(b))) AS INTEGER) AS prefix,
+    CAST(coalesce(list_position(list_transform(list_zip(string_split(c, ''), string_split(d, ''), true), lambda x: x[1] = x[2]), false) - 1, least(length(c), length(d))) AS INTEGER) AS suffix
+  FROM ends)
+"""
+MEASURES = """
+, met AS (SELECT * FROM pairs WHERE steps_of > 1 AND lcp IS NOT NULL AND len > 0 AND before_len > 0),
+totals AS (SELECT session_id, count(*) AS n, sum(len) AS s FROM pairs GROUP BY 1 HAVING count(*) > 1),
+vals AS (
+  SELECT 'html_chars_per_step' AS measure, len::DOUBLE AS v FROM pairs WHERE steps_of > 1
+  UNION ALL SELECT 'adjacent_step_lcp_chars', lcp FROM met UNION ALL SELECT 'adjacent_step_lcs_chars', lcs FROM met UNION ALL SELECT 'adjacent_step_ratio', (lcp + lcs) / greatest(len, 1) FROM met
+  UNION ALL SELECT 'step_count', n FROM totals UNION ALL SELECT 'html_chars_per_session_total', s FROM totals
+  UNION ALL SELECT 'all_step_common_prefix_chars', prefix FROM shared WHERE n > 1 UNION ALL SELECT 'all_step_common_suffix_chars', suffix FROM shared WHERE n > 1),
+placed AS (SELECT measure, v, row_number() OVER (PARTITION BY measure ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY measure) AS n FROM vals)
+SELECT measure, max(n) AS n, round(sum(v) / max(n), 1) AS mean, """ + ", ".join(f"round(max(CASE WHEN i = CAST(floor({x}::DOUBLE * (n - 1)) AS BIGINT) THEN v END), 1) AS {k}" for k, x in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))) + """,
+  round(max(v), 1) AS max, round(min(v), 1) AS min, round(sum(v), 0) AS sum FROM placed GROUP BY 1"""
+
+
+FIT_COLUMNS = "SELECT session_id, step_idx, pre_drop, n_prompt_tokens, n_history_full_html, n_history_dropped_html, current_truncated FROM fitted"
+EXAMPLES = """
+, ex AS (SELECT action_id, md5(action_id) AS place, rationale, left(coalesce(persona, '{}'), 1200) AS snippet, action_wire_json FROM steps s LEFT JOIN persona p ON p.user_id = s.user_id WHERE split = 'train' AND rationale IS NOT NULL ORDER BY 2, 1 LIMIT 3)
+"""
+
+
+def asked() -> str:
     from driftloom.operators import prompts as P
 
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    return f"""
-, b AS (SELECT *, {q(P.STEP)} || (step_idx + 1) || {q(chr(10) + P.PAGE)} || hist || chr(10) || chr(10) || CASE WHEN why <> '' THEN {q(P.WHY)} || why || chr(10) ELSE '' END || {q(P.ACTION)} || action_wire_json || chr(10) || chr(10) AS block FROM sliced),
-h AS (SELECT *, coalesce(string_agg(block, '') OVER (PARTITION BY session_id ORDER BY step_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS blocks FROM b),
-t AS (SELECT session_id, step_idx, {q(P.CHAT_SYSTEM + P.SYSTEM + P.CHAT_USER + P.PERSONA)} || coalesce(persona, '{{}}') || {q(chr(10) * 3 + P.HISTORY)} || blocks || {q(P.CURRENT)} || (step_idx + 1) || {q(")" + chr(10))} || observation || {q(P.TASK + P.CHAT_ASSISTANT)} AS text FROM h LEFT JOIN persona USING (user_id))
-SELECT session_id, step_idx, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS md5 FROM t"""
+    shown = f"(SELECT CASE WHEN count(*) > 0 THEN {q(P.ASK_EXAMPLES)} || string_agg({q(P.ASK_SNIPPET)} || snippet || {q(P.ASK_ACTION)} || action_wire_json || {q(P.ASK_RATIONALE)} || rationale || chr(10), '' ORDER BY place) || chr(10) ELSE '' END FROM ex)"
+    page = f"CASE WHEN length(observation) > 80000 THEN left(observation, 80000) || {q(P.ASK_CUT)} ELSE observation END"
+    return EXAMPLES + f", t AS (SELECT action_id, {q(P.ASK)} || coalesce(persona, '{{}}') || chr(10) || chr(10) || {shown} || {q(P.ASK_PAGE)} || {page} || {q(P.ASK_TAKEN)} || action_wire_json || {q(P.ASK_END)} AS x FROM steps s LEFT JOIN persona p ON p.user_id = s.user_id WHERE rationale IS NULL) SELECT action_id, CAST(length(x) AS INTEGER) AS n_chars, md5(x) AS md5 FROM t"
 
 
-FIT_COLUMNS = "SELECT session_id, step_idx, pre_drop, n_prompt_tokens, n_history_full_html, n_history_dropped_html, current_truncated FROM fitted"
-ASK = "'Explain, as the shopper, in one or two sentences why this action was taken.' || chr(10) || chr(10) || '# Shopper persona' || chr(10)"
 N_PAGE = "CAST(length(observation) AS INTEGER)"
 
 ORACLES = {
@@ -175,7 +235,7 @@ ORACLES = {
     "verify_click_counts": ACTIONS + "SELECT split, coalesce(raw_click, '<null>') AS click_type, count(*) AS n FROM ev WHERE action_type = 'click' GROUP BY 1, 2",
     "verify_len_stats": ACTIONS
     + f"SELECT split, min({N_PAGE}) AS min, CAST(floor(quantile_cont(length(observation), 0.5)) AS INTEGER) AS median, CAST(floor(quantile_cont(length(observation), 0.9)) AS INTEGER) AS p90, CAST(floor(quantile_cont(length(observation), 0.99)) AS INTEGER) AS p99, max({N_PAGE}) AS max FROM act GROUP BY 1",
-    "verify_rationale_fraction": ACTIONS + "SELECT split, count(*) FILTER (length(coalesce(raw_rationale, '')) > 0) AS n_rationale, avg(CAST(length(coalesce(raw_rationale, '')) > 0 AS INTEGER)) AS fraction FROM act GROUP BY 1",
+    "verify_rationale_fraction": ACTIONS + "SELECT split, count(*) FILTER (length(coalesce(raw_rationale, '')) > 0) AS n_rationale, round(avg(CAST(length(coalesce(raw_rationale, '')) > 0 AS INTEGER)), 4) AS fraction FROM act GROUP BY 1",
     "user_overlap": ACTIONS + "SELECT count(*) AS n_users FROM (SELECT user_id FROM ev WHERE split = 'train' INTERSECT SELECT user_id FROM ev WHERE split = 'test')",
     "semantic_id_fd_check": ACTIONS + "SELECT semantic_id, count(DISTINCT raw_click) AS n_click_types, count(*) AS n FROM act WHERE action_type = 'click' AND semantic_id IS NOT NULL GROUP BY 1",
     "action_normalize": ACTIONS + "SELECT action_id, type, click_type, name, text, valid FROM norm",
@@ -184,7 +244,7 @@ ORACLES = {
     "action_match": ACTIONS + PREDICTED + "SELECT action_id, matched FROM pred",
     "trajectory_steps": ACTIONS + f"SELECT session_id, s.user_id, split, step_idx, action_id, type, {N_PAGE} AS n_page, CAST(coalesce(length(rationale), 0) AS INTEGER) AS n_rationale, coalesce(persona, '{{}}') AS persona FROM steps s LEFT JOIN persona p ON p.user_id = s.user_id",
     "trajectory_summary": ACTIONS
-    + ", s AS (SELECT split, session_id, bool_and(valid) AS good, count(*) AS n, count(raw_rationale) FILTER (trim(raw_rationale) <> '') AS r FROM act GROUP BY 1, 2) SELECT split, count(*) FILTER (good) AS sessions, count(*) FILTER (NOT good) AS skipped, CAST(coalesce(sum(n) FILTER (good), 0) AS BIGINT) AS samples, CAST(coalesce(sum(r) FILTER (good), 0) AS BIGINT) AS rationales FROM s GROUP BY 1",
+    + ", s AS (SELECT split, session_id, bool_and(valid) AS good, count(*) AS n, count(raw_rationale) FILTER (trim(raw_rationale) <> '') AS r FROM act GROUP BY 1, 2) SELECT split, count(*) FILTER (good) AS sessions, count(*) FILTER (NOT good) AS skipped, CAST(coalesce(sum(n) FILTER (good), 0) AS BIGINT) AS samples, CAST(coalesce(sum(r) FILTER (good), 0) AS BIGINT) AS rationales, coalesce(round(sum(r) FILTER (good) / sum(n) FILTER (good), 4), 0) AS fraction FROM s GROUP BY 1",
     "invalid_session_drop": ACTIONS + "SELECT session_id, count(*) FILTER (action_type = 'scroll') AS n_invalid, count(*) AS n_actions FROM ev GROUP BY 1 HAVING count(*) FILTER (action_type = 'scroll') > 0",
     "trajectory_nested": ACTIONS + "SELECT session_id, any_value(user_id) AS user_id, any_value(split) AS split, CAST(count(*) AS INTEGER) AS n_steps, arg_min(action_id, step_idx) AS first_action, arg_max(action_id, step_idx) AS last_action, CAST(sum(length(observation)) AS BIGINT) AS n_page FROM steps GROUP BY 1",
     "conversation_steps": "SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS step_idx, role, CAST(length(coalesce(text, '')) AS INTEGER) AS n_page FROM conversations",
@@ -196,41 +256,68 @@ ORACLES = {
     "pending_steps": ACTIONS + "SELECT action_id, session_id, step_idx FROM steps WHERE (rationale IS NULL OR trim(rationale) = '') AND action_id NOT IN (SELECT action_id FROM cache)",
     "materialize_cache": ACTIONS + "SELECT action_id, synth AS rationale_synth, rationale IS NOT NULL AS human FROM filled",
     "materialize_summary": ACTIONS + "SELECT split, count(*) AS total, count(rationale) AS human, count(synth) AS synth, count(*) FILTER (rationale IS NULL AND synth IS NULL) AS missing FROM filled GROUP BY 1",
-    "few_shot_examples": ACTIONS + "SELECT action_id, CAST(length(rationale) AS INTEGER) AS n_rationale FROM steps WHERE split = 'train' AND rationale IS NOT NULL ORDER BY md5(action_id), action_id LIMIT 3",
-    "synthesis_prompts": ACTIONS
-    + f", t AS (SELECT action_id, {ASK} || coalesce(persona, '{{}}') || chr(10) || chr(10) || '# Current page (HTML)' || chr(10) || CASE WHEN length(observation) > 80000 THEN substring(observation, 1, 80000) || chr(10) || '<!-- truncated -->' ELSE observation END || chr(10) || chr(10) || '# Action this shopper took on this page' || chr(10) || action_wire_json || chr(10) AS x FROM steps s LEFT JOIN persona p ON p.user_id = s.user_id WHERE rationale IS NULL) SELECT action_id, CAST(length(x) AS INTEGER) AS n_chars, md5(x) AS md5 FROM t",
+    "few_shot_examples": ACTIONS + EXAMPLES + "SELECT action_id, CAST(length(rationale) AS INTEGER) AS n_rationale, snippet, action_wire_json FROM ex",
+    "synthesis_prompts": ACTIONS + asked(),
     "anchor_slice": ACTIONS + SLICED + "SELECT action_id, found, CAST(CASE WHEN found THEN l + size - r ELSE 0 END AS INTEGER) AS elided, CAST(CASE WHEN found THEN r - l ELSE size END AS INTEGER) AS kept, CAST(length(hist) AS INTEGER) AS n_out, md5(hist) AS md5 FROM sliced",
     "mode_dispatch_l2": ACTIONS + SLICED + f"SELECT session_id, step_idx, {N_PAGE} AS n_cur, CAST(length(hist) AS INTEGER) AS n_hist FROM sliced",
-    "compression_saving": ACTIONS + SLICED + "SELECT session_id, CAST(sum(length(observation)) AS BIGINT) AS before, CAST(sum(length(hist)) AS BIGINT) AS after, 1 - sum(length(hist)) / greatest(sum(length(observation)), 1) AS saving FROM sliced GROUP BY 1",
+    "compression_saving": ACTIONS + SLICED + "SELECT session_id, CAST(sum(length(observation)) AS BIGINT) AS before, CAST(sum(length(hist)) AS BIGINT) AS after, round(100 * (1 - sum(length(hist)) / greatest(sum(length(observation)), 1)), 1) AS saving_pct FROM sliced GROUP BY 1",
+    "step_saving": ACTIONS + SLICED + f"SELECT session_id, step_idx, {N_PAGE} AS before, CAST(length(hist) AS INTEGER) AS after, round(length(hist) / greatest(length(observation), 1), 3) AS ratio FROM sliced",
     "prompt_costs": ACTIONS + SLICED + costs("hist") + 'SELECT session_id, step_idx, "full", dropped, cum_full, cum_dropped FROM cum',
-    "prompt_text": ACTIONS + SLICED + prompt(),
+    "prompt_text": ACTIONS + SLICED + rendered("hist", 500_000_000) + "SELECT session_id, step_idx, CAST(length(shown) AS INTEGER) AS n_chars, md5(shown) AS md5 FROM texts",
     "pre_drop_k": ACTIONS + SLICED + fit("observation", 8000) + "SELECT session_id, step_idx, pre_drop FROM withpre",
     "fit_counters_none": ACTIONS + SLICED + fit("observation", 8000) + FIT_COLUMNS,
     "fit_counters_l2": ACTIONS + SLICED + fit("hist", 8000) + FIT_COLUMNS,
-    "fit_counters_tight": ACTIONS + SLICED + fit("observation", 700) + FIT_COLUMNS,
+    "fit_counters_tight": ACTIONS + SLICED + fit("observation", 1200) + FIT_COLUMNS,
+    "fit_counters_plain": ACTIONS + SLICED + fit("observation", 1200, True) + FIT_COLUMNS,
+    "samples_none": ACTIONS + SLICED + rendered("observation", 8000) + SAMPLES,
+    "samples_plain": ACTIONS + SLICED + rendered("observation", 1200, True) + SAMPLES,
+    "samples_l2": ACTIONS + SLICED + rendered("hist", 8000) + SAMPLES,
+    "samples_tight": ACTIONS + SLICED + rendered("hist", 1200) + SAMPLES,
     "pack_summary": ACTIONS
     + SLICED
     + fit("hist", 8000)
-    + "SELECT split, count(DISTINCT session_id) AS sessions, count(*) AS samples, count(*) FILTER (current_truncated) AS truncated, avg(n_history_dropped_html) AS mean_dropped, avg(n_prompt_tokens) AS mean_tokens, max(n_prompt_tokens) AS max_tokens FROM fitted GROUP BY 1",
-    "redundancy_summary": ACTIONS
-    + f", v AS (SELECT list_sort(list({N_PAGE})) AS a, count(*) AS n, avg({N_PAGE}) AS mean, CAST(sum({N_PAGE}) AS BIGINT) AS sum FROM steps) SELECT n, mean, a[CAST(floor(0.5::DOUBLE * (n - 1)) AS BIGINT) + 1] AS p50, a[CAST(floor(0.9::DOUBLE * (n - 1)) AS BIGINT) + 1] AS p90, a[CAST(floor(0.99::DOUBLE * (n - 1)) AS BIGINT) + 1] AS p99, a[n] AS max, a[1] AS min, sum FROM v",
+    + "SELECT split, count(DISTINCT session_id) AS sessions, count(*) AS samples, count(*) FILTER (current_truncated) AS samples_with_current_truncated, round(avg(n_history_dropped_html), 2) AS mean_history_dropped_per_sample, round(avg(n_prompt_tokens), 1) AS mean_prompt_tokens, max(n_prompt_tokens) AS max_prompt_tokens, count(*) FILTER (rationale_source = 'human') AS rationale_human, count(*) FILTER (rationale_source = 'synthetic') AS rationale_synthetic FROM fitted GROUP BY 1",
+    "adjacent_overlap": ACTIONS + PAIRS + "SELECT session_id, step_idx, len, before_len, lcp, lcs FROM pairs",
+    "headroom": ACTIONS
+    + PAIRS
+    + ", s AS (SELECT CAST(sum(len) AS BIGINT) AS raw_chars, CAST(sum(CASE WHEN lcp IS NULL THEN len ELSE greatest(0, len - lcp - lcs) END) AS BIGINT) AS dedup_chars FROM pairs WHERE steps_of > 1) SELECT raw_chars, dedup_chars, round(100 * (1 - dedup_chars / raw_chars), 1) AS saving_pct_chars FROM s",
+    "common_prefix_all": ACTIONS + SHARED + "SELECT session_id, prefix, suffix FROM shared",
+    "redundancy_summary": ACTIONS + PAIRS + SHARED + MEASURES,
+    "session_redundancy": ACTIONS
+    + PAIRS
+    + "SELECT session_id, count(*) AS n_steps, CAST(sum(len) AS BIGINT) AS total_chars, CAST(floor(quantile_cont(len, 0.5)) AS BIGINT) AS median_html, CAST(round_even(coalesce(avg(lcp) FILTER (len > 0 AND before_len > 0), 0), 0) AS BIGINT) AS adj_lcp_mean FROM pairs WHERE steps_of > 1 GROUP BY 1",
     "token_summary": ACTIONS
-    + ", t AS (SELECT CAST(ceil(length(observation) / 4.0) AS BIGINT) AS t FROM steps) SELECT count(*) AS n, avg(t) AS mean, quantile_cont(t, 0.5) AS median, quantile_cont(t, 0.9) AS p90, quantile_cont(t, 0.95) AS p95, quantile_cont(t, 0.99) AS p99, max(t) AS max, "
+    + ", st AS (SELECT session_id, CAST(ceil(length(observation) / 4.0) AS BIGINT) AS t FROM steps), t AS (SELECT 'per_step' AS name, t FROM st UNION ALL SELECT 'per_session_total', CAST(sum(t) AS BIGINT) FROM st GROUP BY session_id UNION ALL SELECT 'per_session_max_step', max(t) FROM st GROUP BY session_id UNION ALL SELECT 'persona', CAST(ceil(length(persona) / 4.0) AS BIGINT) FROM persona) SELECT name, count(*) AS n, avg(t) AS mean, quantile_cont(t, 0.5) AS median, quantile_cont(t, 0.9) AS p90, quantile_cont(t, 0.95) AS p95, quantile_cont(t, 0.99) AS p99, max(t) AS max, "
     + ", ".join(f"avg(CAST(t > {c} AS INTEGER)) AS over_{c}" for c in (8192, 16384, 32768, 65536))
-    + " FROM t",
+    + " FROM t GROUP BY 1",
+    "session_table_join": ACTIONS
+    + ", e AS (SELECT session_id, min(event_id) AS o, any_value(user_id) AS u FROM ev GROUP BY 1), tab AS (SELECT session_id, o, u FROM e WHERE o % 9 <> 0 UNION ALL SELECT session_id, o + 1000000000, u + 1 FROM e WHERE o % 4 = 0), one AS (SELECT session_id, arg_min(u, o) AS user_id FROM tab GROUP BY 1) SELECT session_id, any_value(one.user_id) AS user_id, count(*) AS n_steps FROM steps JOIN one USING (session_id) GROUP BY 1",
     "session_tokens": ACTIONS + "SELECT session_id, CAST(sum(CAST(ceil(length(observation) / 4.0) AS BIGINT)) AS BIGINT) AS total, max(CAST(ceil(length(observation) / 4.0) AS BIGINT)) AS most, quantile_cont(length(observation), 0.5) AS median_page FROM steps GROUP BY 1",
     "short_sessions": ACTIONS + "SELECT session_id, count(*) AS n_steps, CAST(sum(length(observation)) AS BIGINT) AS n_page FROM steps GROUP BY 1 HAVING count(*) BETWEEN 3 AND 5 ORDER BY 3, 1 LIMIT 5",
     "parse_completion": ACTIONS + PREDICTED + "SELECT action_id, ok, md5(pred_rationale) AS rationale_md5, pred_type, CAST(NULL AS VARCHAR) AS pred_click_type, pred_name, pred_text FROM pred",
     "reward_values": ACTIONS + PREDICTED + reward("-1.0::DOUBLE", "1000.0::DOUBLE"),
     "reward_rl_only": ACTIONS + PREDICTED + reward("0.0::DOUBLE", "1000.0::DOUBLE"),
     "reward_by_click_type": ACTIONS + PREDICTED + reward("-1.0::DOUBLE", "5000.0::DOUBLE"),
+    "reward_advantage": ACTIONS
+    + PREDICTED
+    + ", r AS (SELECT pred.session_id, x.* FROM ("
+    + reward("-1.0::DOUBLE", "1000.0::DOUBLE").strip()
+    + ") x JOIN pred USING (action_id)) SELECT action_id, round(coalesce((reward - avg(reward) OVER w) / nullif(stddev_pop(reward) OVER w, 0), 0), 6) AS advantage FROM r WINDOW w AS (PARTITION BY session_id)",
+    "rationale_extract": ACTIONS + PREDICTED + "SELECT action_id, md5(nullif(pred_rationale, '')) AS rationale_md5 FROM pred",
     "step_scores": ACTIONS + PREDICTED + "SELECT action_id, CAST(ok AS INTEGER) AS format_valid, CAST(same AS INTEGER) AS type_acc, CAST(slots AS INTEGER) AS fg_type_acc, CAST(slots AND matched AS INTEGER) AS nag FROM pred",
     "overall_metrics": ACTIONS + PREDICTED + f"SELECT {RATES} FROM pred",
     "per_user_metrics": ACTIONS + PREDICTED + f"SELECT user_id, {RATES} FROM pred GROUP BY 1",
-    "macro_f1_classes": ACTIONS + PREDICTED + CLASSES + "SELECT label, support, precision, recall, f1 FROM cls",
+    "macro_f1_classes": ACTIONS + PREDICTED + CLASSES + "SELECT label, support, support_pred, precision, recall, f1 FROM cls",
     "macro_f1": ACTIONS + PREDICTED + CLASSES + "SELECT coalesce(avg(f1), 0) AS macro_f1 FROM cls",
     "last_step": ACTIONS + "SELECT user_id, session_id, step_idx, event_id FROM steps QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY step_idx DESC, event_id DESC) = 1",
     "last_step_flagged": ACTIONS + "SELECT user_id, session_id, step_idx, event_id FROM steps WHERE event_id % 5 = 0 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY event_id DESC) = 1",
     "session_outcome": ACTIONS + PREDICTED + outcome("false", "lastp"),
     "session_outcome_lookup": ACTIONS + PREDICTED + outcome("ok AND pt = 'click' AND kclick = 'purchase'", "lastp LEFT JOIN known ON kname = pred_name"),
+    "evaluation_table": ACTIONS
+    + PREDICTED
+    + CLASSES
+    + ", so AS (WITH "
+    + outcome("ok AND pt = 'click' AND kclick = 'purchase'", "lastp LEFT JOIN known ON kname = pred_name").strip().removeprefix(",")
+    + ") SELECT avg(CAST(slots AND matched AS INTEGER)) AS next_action_gen, (SELECT coalesce(avg(f1), 0) FROM cls) AS action_type_macro_f1, avg(CAST(slots AS INTEGER)) AS fine_grained_type, (SELECT f1 FROM so) AS session_outcome FROM pred",
+    "gap_session_windows": "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id, min(ts) AS start, count(*) AS n_events FROM g GROUP BY user_id, k",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions.actions import completion, matches, normalised, rationale_source, rendered_rationale, reward, step_metrics
 from driftloom.functions.text import str_or_none, tokens
-from driftloom.operators import compress, enrich, html, metrics, parsing, prompts, redundancy, trajectories
+from driftloom.operators import compress, enrich, html, metrics, packing, parsing, prompts, redundancy, trajectories
 from driftloom.sources import adapter
 from driftloom.streaming.sessionize import gap_sessions
 
@@ -53,7 +53,7 @@ def verify_len_stats(spark, d):
 def verify_rationale_fraction(spark, d):
     a = adapter.with_rationales(adapter.events(spark, d), spark, d)
     filled = F.length(F.coalesce("rationale", F.lit(""))) > 0
-    return a.groupBy("split").agg(F.count_if(filled).alias("n_rationale"), F.avg(filled.cast("int")).alias("fraction"))
+    return a.groupBy("split").agg(F.count_if(filled).alias("n_rationale"), F.round(F.avg(filled.cast("int")), 4).alias("fraction"))
 
 
 @query
@@ -99,8 +99,8 @@ def action_match(spark, d):
 
 @query
 def trajectory_steps(spark, d):
-    s = adapter.steps(spark, d).join(adapter.personas(spark, d), "user_id", "left")
-    return s.select("session_id", "user_id", "split", "step_idx", "action_id", "type", F.length("observation").alias("n_page"), F.coalesce(F.length("rationale"), F.lit(0)).alias("n_rationale"), F.coalesce("persona", F.lit("{}")).alias("persona"))
+    s = adapter.steps(spark, d, text=False).join(adapter.personas(spark, d), "user_id", "left")
+    return s.select("session_id", "user_id", "split", "step_idx", "action_id", "type", "n_page", F.coalesce(F.length("rationale"), F.lit(0)).alias("n_rationale"), F.coalesce("persona", F.lit("{}")).alias("persona"))
 
 
 @query
@@ -108,7 +108,7 @@ def trajectory_summary(spark, d):
     a = trajectories.normalised_actions(adapter.with_rationales(adapter.events(spark, d).withColumn("semantic_id", F.lit(None).cast("string")), spark, d))
     s = a.groupBy("split", "session_id").agg(F.bool_and("valid").alias("good"), F.count("*").alias("n"), F.count_if(str_or_none(F.col("rationale")).isNotNull()).alias("r"))
     kept = lambda c: F.sum(F.when(F.col("good"), F.col(c)).otherwise(0)).cast("long")
-    return s.groupBy("split").agg(F.count_if("good").alias("sessions"), F.count_if(~F.col("good")).alias("skipped"), kept("n").alias("samples"), kept("r").alias("rationales"))
+    return s.groupBy("split").agg(F.count_if("good").alias("sessions"), F.count_if(~F.col("good")).alias("skipped"), kept("n").alias("samples"), kept("r").alias("rationales"), F.coalesce(F.round(kept("r") / F.nullif(kept("n"), F.lit(0)), 4), F.lit(0.0)).alias("fraction"))
 
 
 @query
@@ -119,9 +119,9 @@ def invalid_session_drop(spark, d):
 
 @query
 def trajectory_nested(spark, d):
-    s = adapter.steps(spark, d)
+    s = adapter.steps(spark, d, text=False)
     n = trajectories.sessions(s, adapter.personas(spark, d))
-    return n.select("session_id", "user_id", "split", F.size("steps").alias("n_steps"), F.element_at("steps", 1)["action_id"].alias("first_action"), F.element_at("steps", -1)["action_id"].alias("last_action"), F.expr("aggregate(steps, 0L, (x, s) -> x + length(s.observation))").alias("n_page"))
+    return n.select("session_id", "user_id", "split", F.size("steps").alias("n_steps"), F.element_at("steps", 1)["action_id"].alias("first_action"), F.element_at("steps", -1)["action_id"].alias("last_action"), F.expr("aggregate(steps, 0L, (x, s) -> x + s.n_page)").alias("n_page"))
 
 
 @query
@@ -133,9 +133,10 @@ def conversation_steps(spark, d):
 
 @query
 def samples_expand(spark, d):
-    s = adapter.steps(spark, d)
+    """Earlier pages count by their lengths alone; whole texts are rendered by the samples_ queries."""
+    s = adapter.steps(spark, d, text=False)
     t = trajectories.samples(trajectories.sessions(s, adapter.personas(spark, d)))
-    return t.select("session_id", F.col("t").alias("step_idx"), F.col("step.action_id").alias("action_id"), F.size("history").alias("n_history"), F.expr("aggregate(history, 0L, (x, s) -> x + length(s.observation))").alias("n_history_page"), F.md5(completion(F.col("step.rationale"), F.col("step.action_wire_json"))).alias("completion_md5"))
+    return t.select("session_id", F.col("t").alias("step_idx"), F.col("step.action_id").alias("action_id"), F.size("history").alias("n_history"), F.expr("aggregate(history, 0L, (x, s) -> x + s.n_page)").alias("n_history_page"), F.md5(completion(F.col("step.rationale"), F.col("step.action_wire_json"))).alias("completion_md5"))
 
 
 def filled_steps(spark, d):
@@ -179,17 +180,20 @@ def materialize_summary(spark, d):
     )
 
 
+def shown_examples(spark, d):
+    return prompts.examples(adapter.steps(spark, d, text=False), adapter.personas(spark, d))
+
+
 @query
 def few_shot_examples(spark, d):
     """Three human rationales of the train split, in the order of a hash; a top-k by design."""
-    s = adapter.steps(spark, d, pages=False).where("split = 'train' and rationale is not null")
-    return s.select("action_id", F.length("rationale").alias("n_rationale")).orderBy(F.md5("action_id"), "action_id").limit(3)
+    return shown_examples(spark, d).select("action_id", F.length("rationale").alias("n_rationale"), "snippet", "action_wire_json")
 
 
 @query
 def synthesis_prompts(spark, d):
     s = adapter.steps(spark, d).where("rationale is null").join(adapter.personas(spark, d), "user_id", "left")
-    p = prompts.synthesis_prompt(F.coalesce("persona", F.lit("{}")), F.col("observation"), F.col("action_wire_json"))
+    p = prompts.synthesis_prompt(F.coalesce("persona", F.lit("{}")), F.col("observation"), F.col("action_wire_json"), prompts.examples_section(shown_examples(spark, d)))
     return s.select("action_id", F.length(p).alias("n_chars"), F.md5(p).alias("md5"))
 
 
@@ -228,7 +232,7 @@ def furniture_apply(spark, d):
 @query
 def furniture_summary(spark, d):
     s = sessions_with_furniture(spark, d).select("split", F.size("pieces").alias("n"), F.expr("aggregate(pieces, 0L, (x, p) -> x + length(p))").alias("c"))
-    return s.groupBy("split").agg(F.count("*").alias("sessions"), F.sum("n").alias("pieces"), F.sum("c").alias("chars"), F.avg("c").alias("chars_per_session"))
+    return s.groupBy("split").agg(F.count("*").alias("sessions"), F.sum("n").alias("pieces"), F.sum("c").alias("chars"), F.round(F.avg("c"), 1).alias("chars_per_session"))
 
 
 @query
@@ -242,7 +246,14 @@ def compression_saving(spark, d):
     """Saving of the slices by session."""
     s = compress.dispatch(adapter.steps(spark, d, rationale=False), "L2", ATTRIBUTE)
     a = s.groupBy("session_id").agg(F.sum(F.length("obs_cur")).alias("before"), F.sum(F.length("obs_hist")).alias("after"))
-    return a.select("session_id", "before", "after", (1 - F.col("after") / F.greatest("before", F.lit(1))).alias("saving"))
+    return a.select("session_id", "before", "after", F.round(100 * (1 - F.col("after") / F.greatest("before", F.lit(1))), 1).alias("saving_pct"))
+
+
+@query
+def step_saving(spark, d):
+    """Ratio of a page's slice to the page, and its size in a session that defines its furniture once."""
+    s = compress.dispatch(adapter.steps(spark, d, rationale=False), "L2", ATTRIBUTE).select("session_id", "step_idx", F.length("obs_cur").alias("before"), F.length("obs_hist").alias("after"))
+    return s.withColumn("ratio", F.round(F.col("after") / F.greatest("before", F.lit(1)), 3))
 
 
 # --- prompts ----------------------------------------------------------------
@@ -250,56 +261,108 @@ def compression_saving(spark, d):
 
 def packable(spark, d, mode):
     s = filled_steps(spark, d).withColumn("why", rendered_rationale(F.col("rationale_synth"), F.col("rationale")))
-    return compress.dispatch(s, mode, ATTRIBUTE)
+    return compress.dispatch(compress.with_pieces(s) if "L1" in mode else s, mode, ATTRIBUTE)
 
 
 @query
 def prompt_costs(spark, d):
-    return prompts.step_costs(packable(spark, d, "L2")).select("session_id", "step_idx", "full", "dropped", "cum_full", "cum_dropped")
+    return packing.step_costs(packable(spark, d, "L2")).select("session_id", "step_idx", "full", "dropped", "cum_full", "cum_dropped")
 
 
 @query
 def prompt_text(spark, d):
-    """Digest of every sample's whole prompt with sliced history."""
-    s = packable(spark, d, "L2").join(adapter.personas(spark, d), "user_id", "left")
-    block = prompts.step_block(F.col("step_idx") + 1, F.col("obs_hist"), F.col("why"), F.col("action_wire_json"))
-    before = Window.partitionBy("session_id").orderBy("step_idx").rowsBetween(Window.unboundedPreceding, -1)
-    text = prompts.chat(prompts.user_prompt(F.coalesce("persona", F.lit("{}")), F.col("blocks"), F.col("step_idx") + 1, F.col("obs_cur"), F.array().cast("array<string>")))
-    return s.withColumn("blocks", F.collect_list(block).over(before)).select("session_id", "step_idx", F.length(text).alias("n_chars"), F.md5(text).alias("md5"))
+    """Digest of every sample's whole prompt with sliced history, under a budget that nothing exceeds."""
+    s = packing.samples(packable(spark, d, "L2"), adapter.personas(spark, d), max_tokens=500_000_000)
+    return s.select("session_id", "step_idx", F.length("prompt_text").alias("n_chars"), F.md5("prompt_text").alias("md5"))
+
+
+def counters(spark, d, mode, **options):
+    f = packing.fitted(packable(spark, d, mode), adapter.personas(spark, d), **options)
+    return f.drop("user_id", "split", "action_id", "rationale_source")
 
 
 @query
 def pre_drop_k(spark, d):
-    return prompts.fitted(packable(spark, d, "none"), adapter.personas(spark, d)).select("session_id", "step_idx", "pre_drop")
+    return counters(spark, d, "none").select("session_id", "step_idx", "pre_drop")
 
 
 @query
 def fit_counters_none(spark, d):
-    return prompts.fitted(packable(spark, d, "none"), adapter.personas(spark, d)).drop("user_id", "split", "action_id")
+    return counters(spark, d, "none")
 
 
 @query
 def fit_counters_l2(spark, d):
-    return prompts.fitted(packable(spark, d, "L2"), adapter.personas(spark, d)).drop("user_id", "split", "action_id")
+    return counters(spark, d, "L2")
+
+
+@query
+def fit_counters_l1(spark, d):
+    return counters(spark, d, "L1")
+
+
+@query
+def fit_counters_l1l2(spark, d):
+    return counters(spark, d, "L1L2")
 
 
 @query
 def fit_counters_tight(spark, d):
     """A budget that cuts current pages and keeps the last tokens."""
-    return prompts.fitted(packable(spark, d, "none"), adapter.personas(spark, d), max_tokens=700).drop("user_id", "split", "action_id")
+    return counters(spark, d, "none", max_tokens=1200)
+
+
+@query
+def fit_counters_plain(spark, d):
+    """The plain packer: no estimate, and prompts that may stay over the budget."""
+    return counters(spark, d, "none", max_tokens=1200, compressed=False, plain=True)
+
+
+def digests(spark, d, mode, **options):
+    """All sixteen columns of the samples, long texts as digests."""
+    s = packing.samples(packable(spark, d, mode), adapter.personas(spark, d), **options)
+    return s.withColumn("prompt_text", F.md5("prompt_text")).withColumn("completion_text", F.md5("completion_text")).withColumn("rationale_gt", F.md5("rationale_gt"))
+
+
+@query
+def samples_none(spark, d):
+    return digests(spark, d, "none")
+
+
+@query
+def samples_plain(spark, d):
+    return digests(spark, d, "none", max_tokens=1200, compressed=False, plain=True)
+
+
+@query
+def samples_tight(spark, d):
+    return digests(spark, d, "L2", max_tokens=1200)
+
+
+@query
+def samples_l2(spark, d):
+    return digests(spark, d, "L2")
+
+
+@query
+def samples_l1(spark, d):
+    return digests(spark, d, "L1")
+
+
+@query
+def samples_l1l2(spark, d):
+    return digests(spark, d, "L1L2")
 
 
 @query
 def pack_summary(spark, d):
-    f = prompts.fitted(packable(spark, d, "L2"), adapter.personas(spark, d))
-    return f.groupBy("split").agg(
-        F.countDistinct("session_id").alias("sessions"),
-        F.count("*").alias("samples"),
-        F.count_if("current_truncated").alias("truncated"),
-        F.avg("n_history_dropped_html").alias("mean_dropped"),
-        F.avg("n_prompt_tokens").alias("mean_tokens"),
-        F.max("n_prompt_tokens").alias("max_tokens"),
-    )
+    return packing.summary(packing.fitted(packable(spark, d, "L2"), adapter.personas(spark, d)))
+
+
+@query
+def pack_summary_l1l2(spark, d):
+    steps = packable(spark, d, "L1L2")
+    return packing.summary(packing.fitted(steps, adapter.personas(spark, d)), steps.groupBy("session_id").agg(F.first("split").alias("split"), F.first("pieces").alias("pieces")))
 
 
 # --- redundancy and lengths -------------------------------------------------
@@ -323,32 +386,54 @@ def common_prefix_all(spark, d):
 
 @query
 def redundancy_summary(spark, d):
-    n = F.length("observation")
-    return adapter.steps(spark, d, rationale=False).agg(
-        F.count("*").alias("n"), F.avg(n).alias("mean"), *[metrics.lower_percentile(n, q).alias(k) for k, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))], F.max(n).alias("max"), F.min(n).alias("min"), F.sum(n).cast("long").alias("sum")
-    )
+    """The measures that need no sampling, summarised."""
+    return metrics.summarised(redundancy.measures(adapter.steps(spark, d, rationale=False), furniture=False))
+
+
+@query
+def redundancy_furniture(spark, d):
+    """All ten measures, those of sampled furniture too."""
+    return metrics.summarised(redundancy.measures(adapter.steps(spark, d, rationale=False)))
+
+
+@query
+def session_redundancy(spark, d):
+    return redundancy.report(redundancy.per_session(adapter.steps(spark, d, rationale=False), furniture=False))
 
 
 @query
 def token_summary(spark, d):
-    t = adapter.steps(spark, d, rationale=False).select(tokens(F.length("observation")).alias("t"))
+    """Tokens of pages by step, by session (sum and most) and of personas."""
+    steps = adapter.steps(spark, d, rationale=False, text=False).select("session_id", tokens(F.col("n_page")).alias("t"))
+    sessions = steps.groupBy("session_id").agg(F.sum("t").alias("total"), F.max("t").alias("most"))
+    people = adapter.personas(spark, d).select(F.lit("persona").alias("name"), tokens(F.length("persona")).alias("t"))
+    rows = steps.select(F.lit("per_step").alias("name"), "t").unionByName(sessions.select(F.explode(F.array(F.struct(F.lit("per_session_total").alias("name"), F.col("total").alias("t")), F.struct(F.lit("per_session_max_step").alias("name"), F.col("most").alias("t")))).alias("x")).select("x.*")).unionByName(people)
     p = lambda q: F.percentile("t", q)
     over = [F.avg((F.col("t") > c).cast("int")).alias(f"over_{c}") for c in (8192, 16384, 32768, 65536)]
-    return t.agg(F.count("*").alias("n"), F.avg("t").alias("mean"), p(0.5).alias("median"), p(0.9).alias("p90"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max("t").alias("max"), *over)
+    return rows.groupBy("name").agg(F.count("*").alias("n"), F.avg("t").alias("mean"), p(0.5).alias("median"), p(0.9).alias("p90"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max("t").alias("max"), *over)
 
 
 @query
 def session_tokens(spark, d):
-    t = adapter.steps(spark, d, rationale=False).select("session_id", tokens(F.length("observation")).alias("t"), F.length("observation").alias("n"))
+    t = adapter.steps(spark, d, rationale=False, text=False).select("session_id", tokens(F.col("n_page")).alias("t"), F.col("n_page").alias("n"))
     return t.groupBy("session_id").agg(F.sum("t").alias("total"), F.max("t").alias("most"), F.percentile("n", 0.5).alias("median_page"))
 
 
 @query
 def short_sessions(spark, d):
-    s = adapter.steps(spark, d, rationale=False).groupBy("session_id").agg(F.count("*").alias("n_steps"), F.sum(F.length("observation")).cast("long").alias("n_page"))
+    s = adapter.steps(spark, d, rationale=False, text=False).groupBy("session_id").agg(F.count("*").alias("n_steps"), F.sum(F.coalesce("n_page", F.lit(0))).cast("long").alias("n_page"))
     return s.where("n_steps between 3 and 5").orderBy("n_page", "session_id").limit(5)
 
 
+@query
+def session_table_join(spark, d):
+    """Sessions as a table of their own, some of its rows twice with another user, joined with their steps."""
+    e = adapter.events(spark, d).groupBy("session_id").agg(F.min("event_id").alias("ordinal"), F.first("user_id").alias("user_id"))
+    again = e.where("ordinal % 4 = 0").select("session_id", (F.col("ordinal") + 1_000_000_000).alias("ordinal"), (F.col("user_id") + 1).alias("user_id"))
+    steps = trajectories.of_sessions(adapter.steps(spark, d, rationale=False, text=False), e.where("ordinal % 9 <> 0").unionByName(again), "ordinal")
+    return steps.groupBy("session_id").agg(F.first("user_id").alias("user_id"), F.count("*").alias("n_steps"))
+
+
 # --- predictions ------------------------------------------------------------
 
 
@@ -393,7 +478,7 @@ def step_scores(spark, d):
 
 
 def _rates(p):
-    return [F.avg(v).alias(k) for k, v in step_metrics(F.col("ok")).items()]
+    return [F.coalesce(F.avg(v), F.lit(0.0)).alias(k) for k, v in step_metrics(F.col("ok")).items()]
 
 
 @query
@@ -455,6 +540,22 @@ def session_outcome_lookup(spark, d):
     return metrics.outcome(joined, (F.col("pred_type") == "click") & (F.coalesce("pred_click_type", "_click") == "purchase"), (F.col("gt_type") == "click") & (F.col("gt_click_type") == "purchase"))
 
 
+@query
+def rationale_extract(spark, d):
+    return parsed_predictions(spark, d).select("action_id", F.md5(parsing.said(F.col("pred_rationale"))).alias("rationale_md5"))
+
+
+@query
+def rationale_quality(spark, d):
+    p = parsed_predictions(spark, d).withColumn("pred_rationale", parsing.said(F.col("pred_rationale")))
+    return metrics.rationale_quality(p, parsing.rouge_l(F.col("pred_rationale"), F.col("rationale_gt")))
+
+
+@query
+def evaluation_table(spark, d):
+    return metrics.evaluation(overall_metrics(spark, d), macro_f1(spark, d), session_outcome_lookup(spark, d))
+
+
 @query
 def rouge_l(spark, d):
     p = parsed_predictions(spark, d).where("ok and pred_rationale <> '' and rationale_gt <> ''")
@@ -469,6 +570,11 @@ def element_ids(spark, d):
     return adapter.table(spark, d, "pages").select("page_id", F.explode(html.element_ids(F.col("html"))).alias("el_id", "selector"))
 
 
+@query
+def numbered_html(spark, d):
+    return adapter.table(spark, d, "pages").select("page_id", html.numbered_html(F.col("html")).alias("out")).select("page_id", F.length("out").alias("n_chars"), F.md5("out").alias("md5"))
+
+
 @query
 def simplify_html(spark, d):
     return adapter.table(spark, d, "pages").select("page_id", F.length("html").alias("n_before"), html.simplify_html(F.col("html")).alias("out")).select("page_id", "n_before", F.length("out").alias("n_after"), F.md5("out").alias("md5"))

@@ -30,19 +30,20 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def with_pages(actions: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adds observation and semantic_id. A page has many actions, an action one page."""
+def with_pages(actions: DataFrame, spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
+    """Adds observation, or only its length n_page, and semantic_id. A page has many actions, an action one page."""
     pages = table(spark, sf_dir, "pages")
-    pages = pages.select("page_id", F.col("html").alias("observation"), F.nullif(F.regexp_extract("html", 'href="([^"]*)"', 1), F.lit("")).alias("_href"))
-    joined = actions.withColumn("page_id", F.col("event_id") % F.lit(pages.count())).join(pages, "page_id")
+    n = pages.agg(F.count("*")).scalar()
+    pages = pages.select("page_id", F.col("html").alias("observation") if text else F.length("html").alias("n_page"), F.nullif(F.regexp_extract("html", 'href="([^"]*)"', 1), F.lit("")).alias("_href"))
+    joined = actions.withColumn("page_id", F.col("event_id") % n).join(pages, "page_id")
     return joined.withColumn("semantic_id", F.when(F.col("event_type") != "error", F.col("_href"))).drop("_href", "page_id")
 
 
 def with_rationales(actions: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    n = docs.count()
+    n = docs.agg(F.count("*")).scalar()
     good = docs.select("doc_id", "text").join(labels.where("quality = 1").select("doc_id"), "doc_id").select(F.col("doc_id").alias("_doc"), F.col("text").alias("rationale"))
-    return actions.withColumn("_doc", F.col("event_id") % F.lit(n)).join(good, "_doc", "left").drop("_doc")
+    return actions.withColumn("_doc", F.col("event_id") % n).join(good, "_doc", "left").drop("_doc")
 
 
 def actions(spark: SparkSession, sf_dir: str, rationale: bool = True) -> DataFrame:
@@ -63,12 +64,12 @@ def cache_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(again)
 
 
-def steps(spark: SparkSession, sf_dir: str, rationale: bool = True, pages: bool = True) -> DataFrame:
-    """Ordered steps of the sessions whose actions are all valid, with normalised fields and persona."""
+def steps(spark: SparkSession, sf_dir: str, rationale: bool = True, pages: bool = True, text: bool = True) -> DataFrame:
+    """Ordered steps of the sessions whose actions are all valid, with normalised fields. Without text only the pages' lengths, n_page, go through the shuffle."""
     from driftloom.operators.trajectories import ordered_steps
 
     raw = events(spark, sf_dir)
-    raw = with_pages(raw, spark, sf_dir) if pages else raw.withColumn("semantic_id", F.lit(None).cast("string"))
+    raw = with_pages(raw, spark, sf_dir, text) if pages else raw.withColumn("semantic_id", F.lit(None).cast("string"))
     raw = with_rationales(raw, spark, sf_dir) if rationale else raw
     return ordered_steps(raw)
 
