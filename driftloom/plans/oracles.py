@@ -302,7 +302,7 @@ ORACLES = {
     + PREDICTED
     + ", r AS (SELECT pred.session_id, x.* FROM ("
     + reward("-1.0::DOUBLE", "1000.0::DOUBLE").strip()
-    + ") x JOIN pred USING (action_id)) SELECT action_id, round(coalesce((reward - avg(reward) OVER w) / nullif(stddev_pop(reward) OVER w, 0), 0), 6) AS advantage FROM r WINDOW w AS (PARTITION BY session_id)",
+    + ") x JOIN pred USING (action_id)) SELECT action_id, round(coalesce((reward - avg(reward) OVER w) / nullif(stddev_pop(reward) OVER w, 0), 0), 6) + 0.0 AS advantage FROM r WINDOW w AS (PARTITION BY session_id)",
     "rationale_extract": ACTIONS + PREDICTED + "SELECT action_id, md5(nullif(pred_rationale, '')) AS rationale_md5 FROM pred",
     "step_scores": ACTIONS + PREDICTED + "SELECT action_id, CAST(ok AS INTEGER) AS format_valid, CAST(same AS INTEGER) AS type_acc, CAST(slots AS INTEGER) AS fg_type_acc, CAST(slots AND matched AS INTEGER) AS nag FROM pred",
     "overall_metrics": ACTIONS + PREDICTED + f"SELECT {RATES} FROM pred",

@@ -468,7 +468,7 @@ def reward_by_click_type(spark, d):
 def reward_advantage(spark, d):
     """Advantage of a prediction among its session's."""
     r = parsed_predictions(spark, d).select("session_id", "action_id", reward(F.col("ok"), F.col("pred_rationale")).alias("reward"))
-    return metrics.advantages(r, ["session_id"]).select("action_id", F.round("advantage", 6).alias("advantage"))
+    return metrics.advantages(r, ["session_id"]).select("action_id", (F.round("advantage", 6) + 0.0).alias("advantage"))
 
 
 @query
