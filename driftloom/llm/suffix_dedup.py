@@ -45,8 +45,8 @@ ROW = 96
 SPLIT = 22
 RIGHT_CORE, LEFT_CORE = (LEFT, LEFT + 30), (SPLIT, LENGTH)
 SHALLOW = 24
-FLUSH_BYTES, CARRY_BYTES = 6 << 20, 8 << 20
-CHUNK = 1 << 18
+FLUSH_BYTES, CARRY_BYTES, CUT_BYTES = 6 << 20, 8 << 20, 1 << 20
+CHUNK = 1 << 16
 _KEYS = np.random.default_rng(7).integers(1, 2**63, ROW // 8, dtype=np.uint64) * U(2) + U(1)
 META = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("at", "<u4"), ("u", "u1"), ("v", "u1"), ("again", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("begin", "<u4"), ("end", "<u4")])
@@ -315,6 +315,7 @@ def removed_spans(docs: DataFrame, n_buckets: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             rec, meta = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             stands = fold(rec, meta)
             out = span_rows(spans_of(meta[stands < 0]), squeeze)
             # a record's places follow it
@@ -328,7 +329,7 @@ def removed_spans(docs: DataFrame, n_buckets: int) -> DataFrame:
                 out.append((k, 0, squeeze(rec[stands[rows[meta["again"][rows] == 0]], :WIDE].tobytes()), squeeze(planes(meta[rows]))))
             return _blobs(out)
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", CUT_BYTES):
             data, at = text_bytes(batch.column(2))
             ids = np.array(batch.column(0).to_pylist(), np.int64)
             tags = np.array(batch.column(1).to_pylist(), np.int64).astype(np.uint32)
@@ -340,8 +341,8 @@ def removed_spans(docs: DataFrame, n_buckets: int) -> DataFrame:
                 size += rec.nbytes // 4
                 if size > FLUSH_BYTES:
                     held += parts
+                    parts, size = [], 0
                     yield flush()
-                    held, parts, size = [], [], 0
             held += parts
         if held:
             yield flush()
