@@ -9,7 +9,10 @@ meet wherever they stand. Consecutive strings with one anchor travel as one reco
 1. Map tasks cut their texts into records. Of equal records in a flush one of the least doc_id
    is sent on, with the places of that document's other ones; those of larger doc_ids are already
    decided. So what a flush sends of a string that a third of all documents hold is one record.
-2. Each anchor's records meet in a bucket, where equal ones are folded again. What goes of a record goes
+   Anchors that many records share, in whatever surroundings, are learned from every HOT_SAMPLEth text (by a
+   hash) beforehand; that changes no result. Their records are cut in two at most, by the 28 or 30 bytes
+   that all strings of a part have in common, and dealt out by these.
+2. Each anchor's records (or, of a hot one, those of equal 28 or 30 bytes) meet in a bucket, where equal ones are folded again. What goes of a record goes
    at all its places. Strings whose 28 or 30 bytes around
    the anchor stand in one document only can't repeat and drop out. The suffixes of the others are
    ordered: a multikey quicksort on 8 bytes at a time splits all open groups down to SHALLOW bytes,
@@ -28,6 +31,7 @@ which there are as many as four times the shuffle partitions.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +51,8 @@ RIGHT_CORE, LEFT_CORE = (LEFT, LEFT + 30), (SPLIT, LENGTH)
 SHALLOW = 24
 FLUSH_BYTES, CARRY_BYTES, CUT_BYTES = 6 << 20, 8 << 20, 1 << 20
 CHUNK = 1 << 16
+#: An anchor is hot if it has more than HOT_LEAST records of the sample and more than one in HOT_SHARE; so at most HOT_SHARE are.
+HOT_SAMPLE, HOT_SHARE, HOT_LEAST = 64, 1000, 256
 _KEYS = np.random.default_rng(7).integers(1, 2**63, ROW // 8, dtype=np.uint64) * U(2) + U(1)
 META = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("at", "<u4"), ("u", "u1"), ("v", "u1"), ("again", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("begin", "<u4"), ("end", "<u4")])
@@ -96,6 +102,31 @@ def records(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         yield rec, doc[a:b], first[a:b] - at[doc[a:b]], u, v
 
 
+def anchor_words(rec: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rec[:, LEFT : LEFT + ANCHOR]).view("<u8")[:, 0]
+
+
+def core_keys(rec: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Hash of the bytes from a to b of each record."""
+    core = np.zeros((len(rec), 32), np.uint8)
+    core[:, : b - a] = rec[:, a:b]
+    key = np.zeros(len(rec), np.uint64)
+    for i in range(4):
+        key += mix(core.view("<u8")[:, i] * _KEYS[i])
+    return key
+
+
+def hot_parts(meta: np.ndarray, hot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[int, int]]]:
+    """Rows, their meta and core, of the two kinds of strings that hot records hold."""
+    for low, high, core in ((SPLIT, ROW, RIGHT_CORE), (0, SPLIT - 1, LEFT_CORE)):
+        rows = np.flatnonzero(hot & (meta["v"] >= low) & (meta["u"] <= high))
+        part = meta[rows]
+        begin = np.maximum(part["u"], low)
+        part["at"] += begin - part["u"]
+        part["u"], part["v"] = begin, np.minimum(part["v"], high)
+        yield rows, part, core
+
+
 def fold(rec: np.ndarray, meta: np.ndarray) -> np.ndarray:
     """For each row the row that stands for its class of equal records, one of the least document; -1 for rows of other documents in the class."""
     stands = np.full(len(rec), -1, np.int64)
@@ -231,11 +262,7 @@ def resolve(rec: np.ndarray, meta: np.ndarray) -> np.ndarray:
         has = np.flatnonzero(low <= high)
         if not len(has):
             continue
-        core = np.zeros((len(has), 32), np.uint8)
-        core[:, : b - a] = rec[has, a:b]
-        key = np.zeros(len(has), np.uint64)
-        for i in range(4):
-            key += mix(core.view("<u8")[:, i] * _KEYS[i])
+        key = core_keys(rec[has], a, b)
         order = np.argsort(key)
         key, doc = key[order], meta["doc"][has][order]
         head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -301,10 +328,36 @@ def _blobs(rows: list[tuple[int, int, bytes | None, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "kind", "rec", "meta"])
 
 
+def hot_anchors(texts: DataFrame) -> np.ndarray:
+    """Anchors with very many different records in a sample of texts, HOT_SHARE at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = 0, Counter()
+        for batch in slices(batches, "text", CUT_BYTES):
+            for rec, doc, _, u, v in records(*text_bytes(batch.column(0))):
+                meta = np.zeros(len(rec), META)
+                meta["doc"], meta["u"], meta["v"] = doc, u, v
+                words = anchor_words(rec[fold(rec, meta) == np.arange(len(rec))])
+                total += len(words)
+                word, n = np.unique(words, return_counts=True)
+                # those left out have less than their share in this piece
+                often = n * HOT_SHARE * 2 > len(words)
+                seen.update(dict(zip(word[often].tolist(), n[often].tolist())))
+        seen[None] = total
+        yield pa.record_batch([pa.array([None if w is None else w.to_bytes(8, "little") for w in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+    found = texts.where(F.pmod(F.xxhash64("text"), F.lit(HOT_SAMPLE)) == 0).select("text").mapInArrow(releasing(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(HOT_SHARE + 1).collect()
+    total = sum(r.n for r in found if r.word is None)
+    return np.array([int.from_bytes(r.word, "little") for r in found if r.word is not None and r.n > max(HOT_LEAST, total // HOT_SHARE)], np.uint64)
+
+
 def removed_spans(docs: DataFrame, n_buckets: int) -> DataFrame:
     """bucket, spans (packed): removed stretches, by the bucket of their documents."""
     import zstandard
 
+    texts = docs.where("doc_id is not null").select("doc_id", F.pmod(F.xxhash64("text"), F.lit(1 << 32)).alias("tag"), "text")
+    hot = hot_anchors(texts)
+
     def span_rows(spans: np.ndarray, squeeze) -> list[tuple]:
         return [(k, 1, None, squeeze(planes(np.sort(spans[rows], order=("doc", "begin"))))) for k, rows in parted(home(np.ascontiguousarray(spans["doc"]), n_buckets), n_buckets)]
 
@@ -323,10 +376,19 @@ def removed_spans(docs: DataFrame, n_buckets: int) -> DataFrame:
             stands = stands[rows]
             meta = meta[rows]
             meta["again"] = stands != rows
-            word = np.ascontiguousarray(rec[stands, LEFT : LEFT + ANCHOR]).view("<u8")[:, 0]
-            bucket = (mix(word) >> U(33)).astype(np.int64) % n_buckets
-            for k, rows in parted(bucket, n_buckets):
-                out.append((k, 0, squeeze(rec[stands[rows[meta["again"][rows] == 0]], :WIDE].tobytes()), squeeze(planes(meta[rows]))))
+            word = anchor_words(rec)[stands]
+            is_hot = np.isin(word, hot)
+            cold = np.flatnonzero(~is_hot)
+            dealt = [(cold, meta[cold], mix(word[cold]))]
+            for rows, part, core in hot_parts(meta, is_hot):
+                dealt.append((rows, part, core_keys(rec[stands[rows]], *core)))
+            place = np.arange(ROW, dtype=np.uint8)[None, :]
+            for at, part, key in dealt:
+                for k, rows in parted((key >> U(33)).astype(np.int64) % n_buckets, n_buckets):
+                    once = rows[part["again"][rows] == 0]
+                    whole = rec[stands[at[once]]]
+                    whole *= (place >= part["u"][once, None]) & (place < part["v"][once, None] + np.uint8(LENGTH))
+                    out.append((k, 0, squeeze(whole[:, :WIDE].tobytes()), squeeze(planes(part[rows]))))
             return _blobs(out)
 
         for batch in slices(batches, "text", CUT_BYTES):
@@ -367,7 +429,6 @@ def removed_spans(docs: DataFrame, n_buckets: int) -> DataFrame:
         return pa.Table.from_batches([_blobs(out)])
 
     kind = "bucket int, kind int, rec binary, meta binary"
-    texts = docs.where("doc_id is not null").select("doc_id", F.pmod(F.xxhash64("text"), F.lit(1 << 32)).alias("tag"), "text")
     return texts.mapInArrow(releasing(cut), kind).groupBy("bucket").applyInArrow(meet, kind).select("bucket", F.col("meta").alias("spans"))
 
 
