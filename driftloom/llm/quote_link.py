@@ -15,7 +15,7 @@ stand by their first message, each with its messages by turn.
 Result for each message: conv_id, turn, role, n_quotes, n_linked (passages of any level with an origin),
 parent_turn (null for the first), thread (turn of its first message), reply_pos (from 0), text
 (without quotes, trimmed), formatted (role header, text and end mark). Null text is empty; null role
-is "unknown"; levels deeper than 4095 count as 4095; a very long message is parsed whole; messages with null conv_id or turn form no replies: they keep null parent, thread and position;
+is "unknown"; a very long message is parsed whole; messages with null conv_id or turn form no replies: they keep null parent, thread and position;
 repeated rows stay, ordered by role and text, and their parent is the turn before theirs;
 other columns are ignored.
 
@@ -31,9 +31,8 @@ from pyspark.sql import functions as F
 
 from driftloom.llm.arrowkit import cut_lineage, n_partitions
 
-#: Private-use characters stand for levels in the regular expressions below.
-LEVELS = 0xE000
-MARKS = r"^((?:[ \t]*>)+)[ \t]?"
+#: The > before a line, with blanks between them. Character classes alone, so that long lines need no deep stack.
+MARKS = r"^([ \t>]*>)[ \t]?"
 PARAGRAPHS, LINES = r"\n[ \t]*\n", r"\n"
 
 
@@ -47,14 +46,12 @@ def parsed(messages: DataFrame) -> DataFrame:
     rest = f"regexp_replace(x, '{MARKS}', '')".replace("\\", "\\\\")
     lines = messages.withColumn("_lines", F.expr(f"transform(split(replace(coalesce(text, ''), '\\r\\n', '\\n'), '\\n'), x -> named_struct('level', {level}, 'line', {rest}))"))
     body = F.expr("array_join(transform(filter(_lines, x -> x.level = 0), x -> x.line), '\\n')")
-    coded = F.expr(f"array_join(transform(_lines, x -> concat(char_of_level(x.level), x.line, '\\n')), '')".replace("char_of_level(x.level)", f"decode(unhex(concat('EE', hex({0x80} + x.level div 64), hex({0x80} + x.level % 64))), 'UTF-8')"))
-    runs = F.expr("regexp_extract_all(_coded, '(.)[^\\\\n]*\\\\n(?:\\\\1[^\\\\n]*\\\\n)*', 0)")
+    starts = F.expr("filter(transform(_lines, (x, i) -> if(i = 0 or x.level <> get(_lines, i - 1).level, i, -1)), i -> i >= 0)")
     passages = F.expr(
-        f"""filter(transform(_runs, (r, i) -> named_struct('pos', i, 'level', ascii(substr(r, 1, 1)) - {LEVELS}, 'text', regexp_replace(r, concat('(?m)^', substr(r, 1, 1)), ''))), p -> p.level > 0)"""
+        """filter(transform(_starts, (s, i) -> named_struct('pos', i, 'level', get(_lines, s).level,
+             'text', array_join(transform(slice(_lines, s + 1, coalesce(get(_starts, i + 1), size(_lines)) - s), x -> x.line), '\n'))), p -> p.level > 0)"""
     )
-    # deeper than 4095 levels is taken as 4095
-    capped = lines.withColumn("_lines", F.expr("transform(_lines, x -> named_struct('level', least(x.level, 4095), 'line', x.line))"))
-    return capped.withColumn("body", F.trim(body, F.lit(" \t\r\n"))).withColumn("_coded", coded).withColumn("_runs", runs).withColumn("passages", passages).drop("_lines", "_coded", "_runs")
+    return lines.withColumn("_starts", starts).withColumn("body", F.trim(body, F.lit(" \t\r\n"))).withColumn("passages", passages).drop("_lines", "_starts")
 
 
 def units(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
