@@ -25,7 +25,7 @@ them, HOT counting as most, then by hash, and the hash range is cut into fragmen
 
 Hot keys: map tasks fold equal sets and send a shingle that HOT of their sets hold once, with a count;
 candidates of a shingle that HOT sets hold are tied in as many parts as there are partitions, then part by part; clusters
-are cut into blocks of BLOCK sets; joins on sets and clusters broadcast the rows of hot keys. So no
+are cut into blocks of PIVOT_BLOCK and BLOCK sets; joins on sets and clusters broadcast the rows of hot keys. So no
 task gets more than a share of a group, and no pair is dropped.
 
 Result for each document: doc_id, n_shingles, component_id (least doc_id reachable by links,
@@ -53,6 +53,8 @@ from driftloom.llm.components import connected_components
 N, NUM, DEN = 4, 85, 100
 HOT = 64
 BLOCK = 1024
+#: Sets that meet their pivot in one task.
+PIVOT_BLOCK = 128
 FLUSH_GRAMS = 1_000_000
 #: Columns of a block that are counted at a time.
 FRAGMENT = 4096
@@ -351,7 +353,7 @@ def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
     sets = cut_lineage(candidates(shared, num, den))
 
     clusters = cut_lineage(connected_components(tied(sets, n_partitions(spark))))
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / PIVOT_BLOCK).cast("int").alias("blocks"))
     placed = join_hot(clusters, sizes, "root", clusters.count()).select(F.col("node").alias("sid"), "root", "blocks", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block"))
     found = pivot_overlaps(sets.join(placed, "sid").dropDuplicates(["sid"]))
     ringed = cut_lineage(clusters.select(F.col("node").alias("sid"), "root").join(found, "sid", "left").select("sid", "root", ring_of(num, den).cast("int").alias("ring")))
