@@ -137,5 +137,63 @@ def ratios(rows, trusted, least, bits=14):
     return out
 
 
+def quotes(rows):
+    """Quotation links of (conv_id, turn, role, text) by looking at every earlier message: one tuple for each."""
+
+    def flat(text):
+        return re.sub(r"\s+", " ", text.lower()).strip()
+
+    def taken_apart(text):
+        runs = []
+        for line in (text or "").replace("\r\n", "\n").split("\n"):
+            mark = re.match(r"((?:[ \t]*>)+)[ \t]?", line)
+            level, said = (mark[1].count(">"), line[mark.end() :]) if mark else (0, line)
+            if runs and runs[-1][0] == level:
+                runs[-1][1].append(said)
+            else:
+                runs.append((level, [said]))
+        body = "\n".join(x for level, xs in runs for x in xs if level == 0).strip(" \t\r\n")
+        return body, [(level, "\n".join(xs)) for level, xs in runs if level]
+
+    def units(text):
+        return [[flat(x) for x in re.split(cut, text) if flat(x)] for cut in (r"\n[ \t]*\n", r"\n")]
+
+    def common(xs, ys):
+        table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, x in enumerate(xs):
+            for j, y in enumerate(ys):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        return table[-1][-1]
+
+    out = []
+    for conv in sorted({c for c, *_ in rows}):
+        mine = sorted((t, role, text) for c, t, role, text in rows if c == conv)
+        parsed = [(t, role, *taken_apart(text)) for t, role, text in mine]
+        parent, linked = {}, {}
+        for t, _, _, passages in parsed:
+            earlier = [(u, body) for u, _, body, _ in parsed if u < t]
+            answers = None
+            for level, quoted in passages:
+                if not flat(quoted):
+                    continue
+                whole = [u for u, body in earlier if flat(quoted) in {flat(x) for x in [body, *re.split(r"\n[ \t]*\n", body), *body.split("\n")]}]
+                found = max(whole, default=None)
+                if found is None:
+                    shares = [(common(q, b) / len(q), u) for u, body in earlier for q, b in zip(units(quoted), units(body)) if len(q) > 1 and 2 * common(q, b) > len(q)]
+                    found = max(shares)[1] if shares else None
+                if found is not None:
+                    linked[t] = linked.get(t, 0) + 1
+                    if level == 1 and answers is None:
+                        answers = found
+            parent[t] = answers if answers is not None else max((u for u, _ in earlier), default=None)
+        first, thread = {}, {}
+        for t in sorted(parent):
+            first.setdefault(parent[t], t)
+            thread[t] = thread[parent[t]] if parent[t] is not None and first[parent[t]] == t else t
+        place = {t: i for i, t in enumerate(sorted(parent, key=lambda t: (thread[t], t)))}
+        out += [(conv, t, len(passages), linked.get(t, 0), parent[t], thread[t], place[t], body) for t, _, body, passages in parsed]
+    return out
+
+
 def key(rows):
     return sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))

@@ -51,6 +51,34 @@ def test_suffix_dedup_removes_all_copies_in_a_larger_document(spark, monkeypatch
     assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == H.key(H.removed(rows))
 
 
+def test_suffix_dedup_splits_hot_anchors(docs, monkeypatch):
+    """Every anchor of a few is hot; results stay."""
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 0)
+    monkeypatch.setattr(suffix_dedup, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 10_000_000)
+    assert len(suffix_dedup.hot_anchors(docs)) > 100
+    got = suffix_dedup.suffix_dedup(docs)
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == H.key(H.removed(H.cases()))
+
+
+def test_suffix_dedup_finds_hot_anchors(spark, monkeypatch):
+    """A string of 8 bytes that is the anchor of all windows around it, in many surroundings."""
+    monkeypatch.setattr(suffix_dedup, "HOT_SAMPLE", 1)
+    rng = random.Random(3)
+
+    def rank(word):
+        h = int.from_bytes(word.encode(), "little") * 0x9E3779B97F4A7C15 % 2**64
+        return (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+
+    word = min(("%08d" % i for i in range(0, 10**8, 997)), key=rank)
+    rows = [(i, "".join("".join(rng.choice("klmnopqrst") for _ in range(30)) + word for _ in range(20)), "en") for i in range(40)] + [(999, "".join(rng.choice("abcdefgh") for _ in range(9000)), "en")]
+    df = H.frame(spark, rows)
+    assert suffix_dedup.hot_anchors(df).tolist() == [int.from_bytes(word.encode(), "little")]
+    rows += [(1000, rows[3][1], "en"), (1001, rows[4][1][100:400], "en")]
+    got = suffix_dedup.suffix_dedup(H.frame(spark, rows))
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == H.key(H.removed(rows))
+
+
 def test_suffix_dedup_empty_table(empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
@@ -240,6 +268,7 @@ def test_jaccard_blocks_of_a_large_cluster(spark, monkeypatch):
 def test_jaccard_rings_hot_sets_and_hot_shingles(spark, monkeypatch):
     """Clusters of many blocks whose sets lie at all distances from the pivot; copies, shingles and clusters count as hot."""
     monkeypatch.setattr(ngram_jaccard, "BLOCK", 8)
+    monkeypatch.setattr(ngram_jaccard, "PIVOT_BLOCK", 4)
     monkeypatch.setattr(ngram_jaccard, "HOT", 3)
     monkeypatch.setattr(arrowkit, "HOT_ROWS", 10)
     monkeypatch.setattr(arrowkit, "HOT_SHARE", 4)
@@ -444,6 +473,32 @@ def test_quotes_of_a_part(spark):
     assert all(r.n_linked == 0 for r in got if r.conv_id in (3, 4))
 
 
+def test_quotes_are_brute_force(spark):
+    rng = random.Random(12)
+    lines = ["alpha one", "Beta two", "gamma", "", " ", "delta  four", "eps"]
+    rows = []
+    for conv in range(12):
+        for turn in range(rng.randrange(1, 14)):
+            text = []
+            for _ in range(rng.randrange(0, 9)):
+                line = rng.choice(lines)
+                mark = rng.choice(["", "", "> ", ">", ">> ", " > > "])
+                text.append(mark + rng.choice([line, line.upper()]))
+            rows.append((conv, turn, "user", rng.choice(["\n", "\r\n"]).join(text)))
+    got = quote_link.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want = H.quotes(rows)
+    assert sum(r[3] for r in want) > 30
+    assert rows_of(got, "conv_id", "turn", "n_quotes", "n_linked", "parent_turn", "thread", "reply_pos", "text") == H.key(want)
+
+
+def test_quotes_very_long_message(spark):
+    body = "\n".join(f"line {i}" for i in range(20_000))
+    rows = [(1, 0, "user", body), (1, 1, "user", "> line 7\n> line 8\n" + ">" * 6000 + " deep\nyes"), (1, 2, "user", "\n".join("> " + x for x in body.split("\n")))]
+    got = {r.turn: r for r in quote_link.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1].parent_turn, got[1].n_quotes, got[1].n_linked, got[1].text) == (0, 2, 1, "yes")
+    assert (got[2].parent_turn, got[2].n_linked, got[2].text) == (0, 1, "")
+
+
 def test_quotes_long_conversation(spark):
     rows = [(9, t, "user", f"message {t}" if t % 10 else f"> message {t - 7}\nanswer") for t in range(1, 400)] + [(9, 0, "user", "first")]
     got = {r.turn: r for r in quote_link.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
@@ -623,6 +678,39 @@ def test_urls_lower_case_ascii_only_long_and_repeated(spark):
     assert got[4][0].host == got[5][0].host == got[4][0].path == got[5][0].path == ""
 
 
+def test_urls_hosts_paths_and_rules_are_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(5)
+    hosts = ["net", "a.NET", "xnet", "example.net", "www.Example.net", "example.com", "sub.example.com", "org", "b.c.org", "xorg", "", "h:80"]
+    paths = ["", "/", "/en/", "/en", "/de/x", "/fr/", "/FR/", "//en/"]
+    rows = [(i, rng.choice(["http://", "https://", "ftp://", "", "//"]) + rng.choice(hosts) + rng.choice(paths) + rng.choice(["", "?a://b/c", "#x/y", "://z/en/"]), "") for i in range(600)] + [(None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/p")
+    sql = f"""
+    WITH u AS (SELECT page_id, coalesce(url, '') AS url, instr(coalesce(url, ''), '://') AS at FROM '{tmp_path}/p/*.parquet'),
+    r AS (SELECT page_id, CASE WHEN at > 0 THEN substring(url, at + 3) ELSE '' END AS rest FROM u),
+    p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+    rules(h, q, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow'))
+    SELECT page_id, host, path, arg_max(h || q, length(h || q)) FILTER (h IS NOT NULL), arg_max(v, length(h || q)) FILTER (h IS NOT NULL)
+    FROM p LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY ALL"""
+    want = duckdb.sql(sql).fetchall()
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict if r.rule else None) for r in url_boost.filter_urls(pages).collect()]
+    assert len(got) == len(rows) and set(got) == set(want) and sum(x[3] is not None for x in want) > 100
+
+
+def test_urls_verdict_on_held_out_urls(spark):
+    """Unwanted URLs are long and full of digits; the trees tell them from the others on URLs that they weren't trained on."""
+    rng = random.Random(6)
+
+    def url(bad, i):
+        return f"http://h{i}.com/" + ("".join(rng.choice("0123456789") for _ in range(rng.randrange(20, 60))) if bad else "-".join(rng.choice(["news", "shop", "team", "about"]) for _ in range(rng.randrange(1, 5))))
+
+    known = [(url(i % 2, i), i % 2) for i in range(400)]
+    pages = [(i, url(i % 2, 1000 + i), "") for i in range(300)]
+    got = url_boost.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(known, "url string, y int")).collect()
+    assert sum((r.verdict == "block") == bool(r.page_id % 2) for r in got) > 0.95 * len(got)
+
+
 def test_urls_with_labels_and_empty(spark):
     pages = spark.createDataFrame([(i, f"http://h.com/{'a' * (i % 2 * 40)}{i}", "") for i in range(60)], "page_id long, url string, html string")
     labelled = spark.createDataFrame([(f"http://q.com/{'b' * (i % 2 * 40)}{i}", i % 2) for i in range(60)], "url string, y int")
