@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions.actions import ACTION_TYPES, CLICK_TYPES
 from driftloom.functions.text import strip
+from driftloom.operators.stemming import stem
 
 PARSED = "ok boolean, rationale string, type string, click_type string, name string, text string"
 #: Fixed value: an object in a code fence.
@@ -96,15 +97,20 @@ def lcs_length(a: list, b: list) -> int:
     return len(b) - row.bit_count()
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-cased words of letters and digits, those of more than three characters stemmed."""
+    return [stem(w) if len(w) > 3 else w for w in re.findall("[a-z0-9]+", text.lower())]
+
+
 def rouge_l(said: Column, true: Column) -> Column:
-    """F measure of the longest common subsequence of lower-cased words."""
+    """F measure of the longest common subsequence of stemmed words."""
 
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(x, y):
             if x is None or y is None:
                 return None
-            x, y = (re.findall("[a-z0-9]+", t.lower()) for t in (x, y))
+            x, y = words_of(x), words_of(y)
             n = lcs_length(x, y) if x and y else 0
             return 2 * n / (len(x) + len(y)) if n else 0.0
 

@@ -269,6 +269,9 @@ def test_modes(spark, pages, mode):
     steps = spark.createDataFrame(rows, "session_id string, step_idx int, observation string, action_wire_json string")
     out = sorted(C.dispatch(C.with_pieces(steps) if "L1" in mode else steps, mode).collect(), key=lambda r: r.step_idx)
     pieces = C.find_furniture(anchored)
+    if mode == "L1L2":
+        shown = {r.step_idx: r.page for r in C.as_of(C.dispatch(C.with_pieces(steps), mode), 1).collect()}
+        assert shown == {r.step_idx: r.obs_cur if r.step_idx == 1 else r.obs_hist for r in out}
     for r, page in zip(out, anchored):
         current = C.apply_furniture(page, pieces) if "L1" in mode else page
         assert r.obs_cur == current

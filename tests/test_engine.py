@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driftloom import registry
 from driftloom.functions.text import unquoted
 from driftloom.operators import enrich, metrics, parsing, redundancy, trajectories
+from driftloom.operators.stemming import stem
 from driftloom.sources import files
 from driftloom.streaming.sessionize import append_each, first_writes, gap_sessions
 
@@ -209,6 +210,19 @@ def test_rationale_quality(spark):
     assert got == ["a", None, None]
 
 
+@pytest.mark.parametrize(
+    "word, out",
+    [line.split() for line in """caresses caress|ponies poni|ties tie|caress caress|cats cat|feed feed|agreed agre|plastered plaster|bled bled|motoring motor|sing sing|conflated conflat|troubled troubl|sized size|hopping hop
+tanned tan|falling fall|hissing hiss|fizzed fizz|failing fail|filing file|happy happi|sky sky|relational relat|conditional condit|rational ration|valenci valenc|digitizer digit|radicalli radic|differentli differ
+vileli vile|analogousli analog|vietnamization vietnam|predication predic|operator oper|feudalism feudal|decisiveness decis|hopefulness hope|callousness callous|formaliti formal|sensitiviti sensit|sensibiliti sensibl
+triplicate triplic|formative form|formalize formal|electriciti electr|electrical electr|hopeful hope|goodness good|revival reviv|allowance allow|inference infer|airliner airlin|gyroscopic gyroscop|adjustable adjust
+defensible defens|irritant irrit|replacement replac|adjustment adjust|dependent depend|adoption adopt|homologou homolog|communism commun|activate activ|angulariti angular|homologous homolog|effective effect|bowdlerize bowdler
+probate probat|rate rate|cease ceas|controll control|roll roll|dying die|news news|died die|flies fli|enjoy enjoy|is is|generously gener""".replace("\n", "|").split("|")],
+)
+def test_stems(word, out):
+    assert stem(word) == out
+
+
 def test_redundancy_of_small_sessions(spark):
     rows = [("a", 0, "xxAB"), ("a", 1, "xxCB"), ("a", 2, ""), ("b", 0, "alone"), ("c", 0, None), ("c", 1, "z")]
     steps = spark.createDataFrame(rows, "session_id string, step_idx int, observation string")
