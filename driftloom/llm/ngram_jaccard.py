@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.arrowkit import U, Words, cut_lineage, join_hot, n_partitions, release, releasing, shingle_sets, slices, small_batches, text_bytes
+from driftloom.llm.arrowkit import U, Words, cut_lineage, forget, join_hot, n_partitions, release, releasing, shingle_sets, size_hint, slices, small_batches, text_bytes
 from driftloom.llm.components import connected_components
 
 N, NUM, DEN = 4, 85, 100
@@ -62,6 +62,8 @@ FRAGMENT = 4096
 FRAGMENT_BITS = 2
 PARTS = "frag int, kind int, flush long, gram long, data binary"
 FLUSH_SETS = 60_000
+#: Bytes of documents for a fragment of step 1, and the most fragments.
+FRAGMENT_BYTES, MOST_FRAGMENTS = 4 << 20, 1 << 17
 
 
 def set_ids(sets: list[np.ndarray]) -> list[bytes]:
@@ -122,7 +124,7 @@ def shared_shingles(docs: DataFrame, n: int, n_frags: int) -> DataFrame:
         each = np.zeros(len(gram), dtype=bool)
         each[order] = np.repeat(hot, count)
         frag_of = lambda g: (g >> U(32)).astype(np.int64) * n_frags >> 32
-        home = number % n_frags
+        home = (number * 0x9E3779B97F4A7C15 % 2**64 >> 33) % n_frags
         out = [(home, 3, number, None, b"".join(sets) + size.astype("<u8").tobytes())]
         if each.any():
             out.append((home, 1, number, None, _pack(at[each], gram[each], np.full(int(each.sum()), HOT))))
@@ -349,8 +351,11 @@ def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
     spark = docs.sparkSession
     small_batches(spark)
     table = cut_lineage(classes(docs, n))
-    shared = cut_lineage(shared_shingles(docs, n, 2 * n_partitions(spark)))
+    # as many fragments as the input asks for, so that none grows with it
+    n_frags = max(2 * n_partitions(spark), min(size_hint(docs) // FRAGMENT_BYTES, MOST_FRAGMENTS))
+    shared = cut_lineage(shared_shingles(docs, n, n_frags))
     sets = cut_lineage(candidates(shared, num, den))
+    forget(shared)
 
     clusters = cut_lineage(connected_components(tied(sets, n_partitions(spark))))
     sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / PIVOT_BLOCK).cast("int").alias("blocks"))
@@ -370,6 +375,8 @@ def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
     roots = connected_components(ringed.where("ring = 0").select(F.col("sid").alias("a"), F.col("root").alias("b")).union(trees))
     least_doc = table.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc"))
     joined = cut_lineage(least_doc.join(roots, least_doc.sid == roots.node, "left").select("sid", "doc", F.coalesce("root", "sid").alias("root")))
+    for done in (sets, clusters, ringed):
+        forget(done)
     named = join_hot(joined, joined.groupBy("root").agg(F.min("doc").alias("component_id")), "root", joined.count()).select("sid", "component_id")
     whole = join_hot(table, named, "sid", table.count(), "left")
     return whole.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
