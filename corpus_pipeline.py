@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame: all but the last
 documents, the last the pieces of packed sequences. A document goes if the quality rules reject it, if it is
 in no language that was learned or between two, or if a document of smaller doc_id is
 linked with it; strings of 50 bytes that an earlier document has are cut out of the others.
+
+Null and empty texts have no words, so the quality rules reject them. Rows that repeat a doc_id go with the Jaccard
+stage but for one; rows without doc_id stay, and neither remove others' text nor lose theirs. Ties go to the smaller
+doc_id. Very long texts are handled whole, by stages whose memory follows the longest one. Columns beside those of
+documents stay as they are, whatever their names. An empty table gives no pieces.
 """
 
 from __future__ import annotations
