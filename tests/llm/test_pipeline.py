@@ -58,3 +58,23 @@ def test_stages_one_by_one(spark, tmp_path):
     assert ids["packing"] == ids["suffix_dedup"]
     run = corpus_pipeline.run(spark, d)
     assert run.count() == seen["packing"].count() and run.columns == seen["packing"].columns
+
+
+def test_odd_columns_and_an_empty_table(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, speech(rng, ["en", "de"][i % 2], 80), ["en", "de"][i % 2]) for i in range(30)]
+    rows += [(30, rows[2][1], "en"), (2, rows[2][1], "en"), (None, speech(rng, "de", 70), "de"), (31, None, None), (32, "", "en"), (33, " ".join(f"{w} w{k}" for k, w in enumerate(speech(rng, "en", 5000).split())), "en")]
+    docs = H.frame(spark, rows)
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 30, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if name != "packing":
+            assert docs.columns == columns and {r.gram for r in docs.select("gram").collect()} == {None} and {r.sid for r in docs.select("sid").collect()} == {7}
+    assert {r.doc_id for r in docs.collect()} == {*range(30), 33, None}
+    spark.createDataFrame([], H.frame(spark, rows).schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
