@@ -228,12 +228,6 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def size_hint(df: DataFrame) -> int:
-    """Bytes of a table by the optimizer's estimate, for files their size; 0 where it has no idea."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 60 else 0
-
-
 COUNTS = "key string, block int, task int, counts binary"
 BLOCK = 2048
 

@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.arrowkit import U, Words, cut_lineage, forget, join_hot, n_partitions, release, releasing, shingle_sets, size_hint, slices, small_batches, text_bytes
+from driftloom.llm.arrowkit import U, Words, cut_lineage, forget, join_hot, n_partitions, release, releasing, shingle_sets, slices, small_batches, text_bytes
 from driftloom.llm.components import connected_components
 
 N, NUM, DEN = 4, 85, 100
@@ -62,8 +62,6 @@ FRAGMENT = 4096
 FRAGMENT_BITS = 2
 PARTS = "frag int, kind int, flush long, gram long, data binary"
 FLUSH_SETS = 60_000
-#: Bytes of documents for a fragment of step 1, and the most fragments.
-FRAGMENT_BYTES, MOST_FRAGMENTS = 4 << 20, 1 << 17
 
 
 def set_ids(sets: list[np.ndarray]) -> list[bytes]:
@@ -351,9 +349,7 @@ def jaccard_components(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
     spark = docs.sparkSession
     small_batches(spark)
     table = cut_lineage(classes(docs, n))
-    # as many fragments as the input asks for, so that none grows with it
-    n_frags = max(2 * n_partitions(spark), min(size_hint(docs) // FRAGMENT_BYTES, MOST_FRAGMENTS))
-    shared = cut_lineage(shared_shingles(docs, n, n_frags))
+    shared = cut_lineage(shared_shingles(docs, n, 2 * n_partitions(spark)))
     sets = cut_lineage(candidates(shared, num, den))
     forget(shared)
 
