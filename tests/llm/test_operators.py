@@ -1,7 +1,9 @@
+import math
 import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -717,3 +719,63 @@ def test_urls_with_labels_and_empty(spark):
     got = url_boost.filter_urls(pages, labelled).collect()
     assert all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in got)
     assert url_boost.filter_urls(pages.where("false")).count() == 0
+
+
+def brute_scores(rows):
+    """rows: (suffix, y, lexical features). The trees' probabilities by numpy, over all rows, with every suffix counted."""
+    y, n = np.array([r[1] for r in rows]), len(rows)
+    overall, of = (y.sum() + 1) / (n + 2), {}
+    for r in rows:
+        of.setdefault(r[0], []).append(r[1])
+    x = np.array([[*r[2], round((sum(of[r[0]]) + 5 * overall) / (len(of[r[0]]) + 5), 6), len(of[r[0]])] for r in rows])
+    cuts = [sorted({round(q, 6) for q in np.percentile(f, [100 * i / url_boost.BINS for i in range(1, url_boost.BINS)])}) for f in x.T]
+    margin = np.full(n, round(math.log(overall / (1 - overall)), 6))
+
+    def gain(m):
+        return g[m].sum() ** 2 / (h[m].sum() + url_boost.RIDGE)
+
+    for _ in range(url_boost.ROUNDS):
+        p = 1 / (1 + np.exp(-margin))
+        g, h, nodes = y - p, p * (1 - p), [np.full(n, True)]
+        for _ in range(url_boost.DEPTH):
+            new = []
+            for node in nodes:
+                best = (1e-6, [node])
+                for i, c in ((i, c) for i in range(len(cuts)) for c in cuts[i]):
+                    low, high = node & (x[:, i] <= c), node & (x[:, i] > c)
+                    if min(h[low].sum(), h[high].sum()) >= url_boost.LEAST_WEIGHT / 4 and (better := round(gain(low) + gain(high) - gain(node), 6)) > best[0]:
+                        best = (better, [low, high])
+                new += best[1]
+            nodes = new
+        if len(nodes) == 1:
+            break
+        for node in nodes:
+            margin[node] += round(url_boost.RATE * g[node].sum() / (h[node].sum() + url_boost.RIDGE), 6)
+    return 1 / (1 + np.exp(-margin))
+
+
+def test_urls_all_labelled_urls_and_suffixes_count(spark):
+    """More labelled URLs than 5,000 and more suffixes than 200, common ones and single ones."""
+    rng = random.Random(8)
+
+    def url(i):
+        k = int(700 * rng.random() ** 3)
+        bad = rng.random() < (0.6 if k % 3 == 0 else 0.05)
+        return f"http{'s' * rng.randrange(2)}://{rng.choice(['bets', 'free-ads']) if bad else rng.choice(['site', 'my-news', 'w.team'])}.x{k}/" + "/".join(str(rng.randrange(10 ** rng.randrange(1, 9))) for _ in range(rng.randrange(4)))
+
+    urls = [url(i) for i in range(7000)]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls + urls[:500])], "page_id long, url string, html string").repartition(5)
+    labelled = url_boost.seed_labels(url_boost.lexical(url_boost.split_urls(pages))).orderBy("page_id").collect()
+    assert len({r.suffix for r in labelled}) > 400 and min(Counter(r.suffix for r in labelled).values()) == 1
+    want = brute_scores([(r.suffix, r.y, [r[f] for f in url_boost.LEXICAL]) for r in labelled])
+    got = [r.score for r in url_boost.filter_urls(pages).orderBy("page_id").collect()]
+    assert len(got) == 7500 and np.abs(np.array(got) - want).max() < 1e-9
+
+
+def test_urls_exact_quantiles(spark):
+    rng = random.Random(9)
+    shares = [0.0, 0.125, 0.37, 0.5, 0.875, 1.0]
+    for n in (1, 2, 3, 5000):
+        rows = [(rng.random(), float(rng.randrange(3)), 7.0, float(i)) for i in range(n)]
+        got = url_boost.quantiles(spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(3), ("a", "b", "c", "d"), shares)
+        assert np.allclose(got, np.percentile(np.array(rows), [100 * q for q in shares], axis=0).T, rtol=0, atol=1e-9)
