@@ -1,11 +1,14 @@
+import glob
 import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftloom.llm import arrowkit, bpe_trie, cost_packing, ecoc_langid, license_scan, media_chunks, ngram_jaccard, quality_llr, quote_link, suffix_dedup, url_boost
@@ -81,6 +84,33 @@ def test_suffix_dedup_finds_hot_anchors(spark, monkeypatch):
     assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == H.key(H.removed(rows))
 
 
+def test_suffix_dedup_sends_covered_bytes_alone():
+    texts = ["", "x" * 49, "y" * 50, "".join(random.Random(3).choices("ab cd", k=5000)), "z" * 300]
+    data, at = arrowkit.text_bytes(pa.array(texts))
+    ((rec, _, _, u, v),) = suffix_dedup.records(data, at)
+    meta = np.zeros(len(rec), suffix_dedup.META)
+    meta["u"], meta["v"] = u, v
+    sent = suffix_dedup.packed(rec, meta)
+    assert len(sent) == sum(v.astype(int) - u + suffix_dedup.LENGTH) < 0.9 * rec.size
+    assert np.array_equal(suffix_dedup.unpacked(sent, meta), rec)
+
+
+def test_suffix_dedup_drops_the_shuffle_of_its_records(spark, docs):
+    """The records take more disk than all else; they must be gone before the documents are dealt out."""
+    docs.count()
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(key)
+    got = suffix_dedup.suffix_dedup(docs)
+    for _ in range(50):  # they go in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(key) == was
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == H.key(H.removed(H.cases()))
+
+
 def test_suffix_dedup_empty_table(empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
