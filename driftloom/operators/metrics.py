@@ -18,10 +18,12 @@ def f1_of(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
 
 
 def class_scores(labels: DataFrame) -> DataFrame:
-    """label, support (of gt), support_pred, precision, recall, f1 of each label of pred and gt."""
-    each = labels.select(F.explode(F.array_distinct(F.array("pred", "gt"))).alias("label"), "pred", "gt")
+    """label, support (of gt), support_pred, precision, recall, f1 of each label of pred and gt. labels may have n, how many rows a row stands for."""
+    n = F.col("n") if "n" in labels.columns else F.lit(1)
+    each = labels.select(F.explode(F.array_distinct(F.array("pred", "gt"))).alias("label"), "pred", "gt", n.cast("long").alias("n"))
     is_p, is_g = F.col("pred") == F.col("label"), F.col("gt") == F.col("label")
-    sums = each.groupBy("label").agg(F.count_if(is_p & is_g).alias("tp"), F.count_if(is_p & ~is_g).alias("fp"), F.count_if(~is_p & is_g).alias("fn"))
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    sums = each.groupBy("label").agg(count(is_p & is_g).alias("tp"), count(is_p & ~is_g).alias("fp"), count(~is_p & is_g).alias("fn"))
     return sums.select("label", (F.col("tp") + F.col("fn")).alias("support"), (F.col("tp") + F.col("fp")).alias("support_pred"), *[v.alias(k) for k, v in f1_of(F.col("tp"), F.col("fp"), F.col("fn")).items()])
 
 

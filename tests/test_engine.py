@@ -1,12 +1,14 @@
 import json
 import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from driftloom import registry
 from driftloom.functions.text import unquoted
-from driftloom.operators import enrich, metrics, parsing, redundancy, trajectories
+from driftloom.operators import compress, enrich, metrics, parsing, redundancy, trajectories
 from driftloom.operators.stemming import stem
 from driftloom.sources import files
 from driftloom.streaming.sessionize import append_each, first_writes, gap_sessions
@@ -181,6 +183,52 @@ def test_query_is_its_sql(spark, name):
     assert rows == sorted([str(shown(r[i])) for i in order] for r in result.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["anchor_slice", "mode_dispatch_l2", "step_saving", "prompt_costs", "pre_drop_k", "pack_summary", "fit_counters_none", "fit_counters_l2", "fit_counters_tight", "fit_counters_plain"])
+def test_lengths_need_no_shuffled_text(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spark._jvm.PythonSQLUtils.explainString(registry.QUERIES[name](spark, SF)._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert shuffled and not [x for x in shuffled if re.search(r"\b(html|observation|obs_\w+|rationale|why)#|doc_id#.*\btext#", x)]
+
+
+def odd_sessions(spark):
+    rng = random.Random(3)
+    chrome = "".join(rng.choice("abc ") for _ in range(900))
+    pages = ["", "x", chrome, chrome + "!", "!" + chrome, chrome[:256], chrome[:255] + "?", chrome + "?" * 300 + chrome, "?" * 600, None, "é" + chrome, chrome[:600] + "-" + chrome[600:]]
+    steps = [(f"s{s}", i, rng.choice([2, 3, 4, 7, 10, 11] if s % 3 == 0 else range(len(pages)))) for s in range(40) for i in range(rng.randrange(1, 5))] + [("same", i, 2) for i in range(3)]
+    steps = spark.createDataFrame(steps, "session_id string, step_idx int, page_id long").join(spark.createDataFrame(list(enumerate(pages)), "page_id long, observation string"), "page_id")
+    return steps.cache(), steps.select("page_id", F.coalesce("observation", F.lit("")).alias("page")).distinct()
+
+
+def test_pairs_from_the_ends_of_pages(spark):
+    steps, pages = odd_sessions(spark)
+    want = redundancy.adjacent(steps)
+    got = redundancy.adjacent_of(steps.select("session_id", "step_idx", "page_id", F.length(F.coalesce("observation", F.lit(""))).alias("len")), pages)
+    rows = lambda df: sorted(tuple(-1 if x is None else x for x in r) for r in df.select("session_id", "step_idx", "len", "before_len", "lcp", "lcs").collect())
+    assert rows(got) == rows(want) and max(r.lcp or 0 for r in got.collect()) >= 900
+    held = {}
+    for r in steps.collect():
+        held.setdefault(r.session_id, []).append(r.observation or "")
+    assert {r.session_id: (r.n, r.prefix, r.suffix) for r in redundancy.shared_ends(got).collect()} == {k: (len(v), *redundancy.common_ends(v)) for k, v in held.items()}
+
+
+def test_no_session_with_furniture_is_passed_over(spark):
+    steps, pages = odd_sessions(spark)
+    found = {r.session_id for r in compress.furnished(steps, compress.page_prints(pages)).collect()}
+    held = {}
+    for r in steps.collect():
+        held.setdefault(r.session_id, []).append(r.observation or "")
+    have = {k for k, v in held.items() if compress.find_furniture(v, n_samples=10**6) or compress.furniture_estimate(v)}
+    assert have and have <= found < set(held) and "same" in found
+    a = "".join(random.Random(i).choice("xyz") for i in range(500))
+    for n in (0, 17, 300):
+        assert set(compress.prints_of("p" * n + a[100:300])) & set(compress.prints_of(a + "q"))
+
+
 def test_session_table_lookup_and_cap(spark):
     steps = spark.createDataFrame([("a", 1, 0), ("a", 1, 1), ("b", 2, 0), ("c", 3, 0)], "session_id string, user_id long, step_idx int")
     table = spark.createDataFrame([("a", 7, 2), ("a", 8, 1), ("b", 9, 3), ("x", 1, 4), (None, 1, 5)], "session_id string, user_id long, ordinal long")
