@@ -89,6 +89,20 @@ def test_class_scores(spark):
     assert macro(spark, []) == {}
 
 
+def test_class_scores_of_counted_rows(spark):
+    pairs = [("a", "a"), ("a", "a"), ("a", "b"), (metrics.INVALID, "a")]
+    counted = spark.createDataFrame([("a", "a", 2), ("a", "b", 1), (metrics.INVALID, "a", 1)], "pred string, gt string, n long")
+    assert {r.label: r for r in metrics.class_scores(counted).collect()} == macro(spark, pairs)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["rouge_l", "numbered_html", "simplify_html", "evaluation_table", "samples_l2", "redundancy_furniture"])
+def test_batches_to_python_are_bounded_by_bytes(spark, name):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    registry.QUERIES[name](spark, SF)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+
+
 def test_last_steps(spark):
     rows = [(1, "a", 0, 1, None), (1, "a", 2, 2, None), (1, "a", 2, 3, None), (1, "b", None, 4, None)]
     schema = "user_id long, session_id string, step_idx int, event_id long, flagged boolean"
